@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelspark import schema as S
 from panelspark.operators import calendar, label, rolling
 from panelspark.registry import dense, fault_log, labelled, panel, powered, query, r6, rounded
+from panelspark.plans import features as plan
 from panelspark.schema import POWER_ON_HOURS
 
 SLIDING = ["smart_1_normalized", "smart_5raw", "smart_195_normalized"]
@@ -279,3 +281,102 @@ def sequence_windows(spark, sf):
         F.element_at("data", -1)[1].alias("last_x"),
         r6(total).alias("total"),
     )
+
+
+# --- the whole feature table ------------------------------------------------------------------
+
+EXTRA = ["smart_10_normalized", "smart_240raw"]  # one constant, one half empty: both get pruned
+CONTINUOUS = [c for c in S.SENSORS if c not in S.ZERO_HEAVY_SENSORS] + list(S.COMBINED_SENSORS)
+CATEGORIES = ["model_type", *[f"{c}_cate" for c in S.ZERO_HEAVY_SENSORS], "power_on_hours_in_day_unit_cate"]
+
+
+def _feature_sql(edges: str, where: str = "true", labels: bool = True) -> str:
+    """Categories, weighted sums, calendar, windows and forward fill, written out per column.
+
+    ``edges`` is a query of ``e1, e2, e3, low, high``, the bin borders.
+    """
+    sums = []
+    for name, weights in S.COMBINED_SENSORS.items():
+        total = "(" + " + ".join(f"{w}::DOUBLE" for w in weights.values()) + ")"
+        sums.append("(" + " + ".join(f"{c} * {w}::DOUBLE" for c, w in weights.items()) + f") / {total} AS {name}")
+    d = "floor(smart_9raw / 24)"
+    cats = ["CAST(CASE model WHEN 1 THEN 0 WHEN 2 THEN 1 END AS INT) AS model_type"]
+    cats += [f"CASE WHEN {c} > 0 THEN 1 ELSE 0 END AS {c}_cate" for c in S.ZERO_HEAVY_SENSORS]
+    cats.append(
+        f"CASE WHEN {d} > low AND {d} <= high THEN CAST({d} > e1 AS INT) + CAST({d} > e2 AS INT) + CAST({d} > e3 AS INT) END"
+        " AS power_on_hours_in_day_unit_cate"
+    )
+    sliding = [c for c in CONTINUOUS if c not in S.NON_SLIDING_SENSORS]
+    f = "OVER f"
+    made = [f"min({c}) {f} AS {c}_min_7" for c in sliding] + [f"max({c}) {f} AS {c}_max_7" for c in sliding]
+    made += [f"stddev_samp({c}) {f} AS {c}_std_7" for c in sliding]
+    made += [f"{c} - lag({c}, 7) OVER o AS {c}_diff_for_last_period_7" for c in sliding]
+    names = CONTINUOUS + [f"{c}_{k}" for k in ("min_7", "max_7", "std_7", "diff_for_last_period_7") for c in sliding]
+    names.append("smart_5raw_slope_for_last_duration_7")
+    filled = ", ".join(
+        f"round(last_value({n} IGNORE NULLS) OVER u, {9 if '_slope_' in n else 6}) + 0.0 AS {n}" for n in names
+    )
+    tags = "CAST(tag > 0 AS TINYINT) AS tag, flag," if labels else ""
+    keep = "tag, flag," if labels else ""
+    cols = ", ".join(CATEGORIES)
+    window = "PARTITION BY model, serial_number ORDER BY day"
+    return f"""WITH edges AS ({edges}),
+      prep AS (SELECT serial_number, model, dt, {tags} {", ".join(cats)}, * EXCLUDE (serial_number, model, dt, tag, flag), {", ".join(sums)}
+               FROM powered CROSS JOIN edges),
+      dense AS (SELECT d.day, d.day = p.dt AS observed, p.* FROM days d ASOF JOIN prep p
+                ON d.model = p.model AND d.serial_number = p.serial_number AND d.day >= p.dt),
+      {SLOPE_CTE},
+      wide AS (SELECT dense.*, s.slope AS smart_5raw_slope_for_last_duration_7, {", ".join(made)}
+               FROM dense LEFT JOIN slopes s ON s.model = dense.model AND s.serial_number = dense.serial_number AND s.day = dense.day
+               WINDOW f AS (PARTITION BY dense.model, dense.serial_number ORDER BY dense.day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
+                      o AS (PARTITION BY dense.model, dense.serial_number ORDER BY dense.day)),
+      full_rows AS (SELECT serial_number, model, day AS dt, observed, {keep} {cols}, {filled} FROM wide
+               WINDOW u AS ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+      SELECT * EXCLUDE (observed) FROM full_rows WHERE observed AND {where}"""
+
+
+FITTED_EDGES = """SELECT lo - (hi - lo) * 0.001 AS low, hi AS high, lo + (hi - lo) / 4 AS e1, lo + 2 * ((hi - lo) / 4) AS e2,
+   lo + 3 * ((hi - lo) / 4) AS e3 FROM (SELECT min(floor(smart_9raw / 24)) AS lo, max(floor(smart_9raw / 24)) AS hi FROM powered)"""
+
+
+def _feature_digits(df):
+    """Six digits, nine for slopes (see ``_shape``)."""
+    return df.select(
+        *[F.round(n, 9 if "_slope_" in n else 6).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes]
+    )
+
+
+FIXED_EDGES = "SELECT -9999 AS low, 9999 AS high, 452.75 AS e1, 905.5 AS e2, 1358.25 AS e3"
+
+
+@query("feature_table", _feature_sql(FITTED_EDGES), ("powered", "days"))
+def feature_table(spark, sf):
+    out, _ = plan.training_features(labelled(spark, sf), [*S.SENSORS, *EXTRA], missing="skip")
+    return _feature_digits(out)
+
+
+@query(
+    "prediction_features",
+    _feature_sql(FIXED_EDGES, "dt BETWEEN DATE '2024-01-25' AND DATE '2024-01-30'", labels=False),
+    ("powered", "days"),
+)
+def prediction_features(spark, sf):
+    fitted = plan.FittedFeatures(list(S.SENSORS), [])
+    return _feature_digits(plan.prediction_features(panel(spark, sf), fitted, "2024-01-25", "2024-01-30"))
+
+
+@query(
+    "feature_null_percent",
+    _feature_sql(FITTED_EDGES).replace("SELECT * EXCLUDE (observed) FROM full_rows WHERE observed AND true", "")
+    + "".join(
+        f"{' UNION ALL ' if i else ' '}SELECT '{c}' AS \"column\", round_even(avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) * 100, 2) AS null_percent"
+        " FROM full_rows WHERE observed"
+        for i, c in enumerate(["smart_5raw_slope_for_last_duration_7", "smart_4raw_diff_for_last_period_7", "smart_195_normalized_std_7"])
+    ),
+    ("powered", "days"),
+)
+def feature_null_percent(spark, sf):
+    from panelspark.operators import clean
+
+    out, _ = plan.training_features(labelled(spark, sf), missing="skip")
+    return clean.null_percent(out, ["smart_5raw_slope_for_last_duration_7", "smart_4raw_diff_for_last_period_7", "smart_195_normalized_std_7"])

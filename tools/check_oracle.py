@@ -66,7 +66,7 @@ def compare(spark, con, name: str, sf_dir: str) -> str | None:
     if not g.equals(w):
         bad = [c for c in g if not g[c].equals(w[c])]
         i = next(i for i in range(len(g)) if list(g.iloc[i]) != list(w.iloc[i]))
-        return f"values differ in {bad}: row {i} {dict(g.iloc[i])} != {dict(w.iloc[i])}"
+        return f"values differ in {bad}: row {i} {dict(g[bad].iloc[i])} != {dict(w[bad].iloc[i])}"
     if kinds(got) != kinds(want):
         a, b = kinds(got), kinds(want)
         return f"types { {k: (a[k], b[k]) for k in a if a[k] != b[k]} }"
