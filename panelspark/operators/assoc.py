@@ -94,31 +94,42 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return t.withColumn("chi2", chi2).select(*_PAIR, "chi2", F.sqrt(F.try_divide(phi2, side)).alias("cramers_v"))
 
 
-def correlation_ratio(df: DataFrame, category: str, columns: Sequence[str], fill: float | None = 0.0) -> DataFrame:
-    """η of each column against a category: ``(category, column, eta)``.
+def correlation_ratios(df: DataFrame, categories: Sequence[str], columns: Sequence[str], fill: float | None = 0.0) -> DataFrame:
+    """η of each column against each category: ``(category, column, eta)``.
 
-    One grouped pass collects count, mean and spread of all columns per category; NULL values count
-    as ``fill`` (or are left out with ``fill=None``).
+    One grouped pass collects count, mean and spread of all columns per category value; NULL values
+    count as ``fill`` (or are left out with ``fill=None``).
     """
     def v(c: str) -> Column:
-        x = F.col(c).cast("double")
+        x = F.col(f"x.{c}")
         return x if fill is None else F.coalesce(x, F.lit(fill))
 
-    groups = df.groupBy(F.col(category).cast("string").alias("k")).agg(
-        *[F.struct(F.count(v(c)).alias("n"), F.avg(v(c)).alias("m"), F.var_pop(v(c)).alias("s")).alias(c) for c in columns]
-    )
+    values = F.struct(*[F.col(c).cast("double").alias(c) for c in columns]).alias("x")
+    kinds = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).cast("string").alias("k")) for c in categories])
+    stats = [F.struct(F.count(v(c)).alias("n"), F.avg(v(c)).alias("m"), F.var_pop(v(c)).alias("s")).alias(c) for c in columns]
+    if len(categories) == 1:
+        rows = df.select(values, F.lit(categories[0]).alias("category"), F.col(categories[0]).cast("string").alias("k"))
+    else:
+        rows = df.select(values, F.explode(kinds).alias("e")).select("x", "e.category", "e.k")
+    groups = rows.groupBy("category", "k").agg(*stats)
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns])
-    long = groups.select(F.explode(entries).alias("e")).select("e.column", "e.s.n", "e.s.m", "e.s.s").filter("n > 0")
-    center = long.groupBy("column").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    long = groups.select("category", F.explode(entries).alias("e")).select("category", "e.column", "e.s.n", "e.s.m", "e.s.s").filter("n > 0")
+    by = ["category", "column"]
+    center = long.groupBy(*by).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
     off = F.col("m") - F.col("mean")
     sums = (
-        long.join(F.broadcast(center), "column")  # one row per column name
-        .groupBy("column")
+        long.join(F.broadcast(center), by)  # one row per pair of column names
+        .groupBy(*by)
         .agg(F.sum(F.col("n") * off * off).alias("between"), F.sum(F.col("n") * F.col("s")).alias("within"))
     )
     total = F.col("between") + F.col("within")
     eta = F.when((F.col("between") == 0) | (total == 0), 0.0).otherwise(F.sqrt(F.col("between") / total))
-    return sums.select(F.lit(category).alias("category"), "column", eta.alias("eta"))
+    return sums.select(*by, eta.alias("eta"))
+
+
+def correlation_ratio(df: DataFrame, category: str, columns: Sequence[str], fill: float | None = 0.0) -> DataFrame:
+    """η of each column against one category."""
+    return correlation_ratios(df, [category], columns, fill)
 
 
 def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -165,9 +176,8 @@ def associations(
         else:
             v = cramers_v(df, list(itertools.combinations(names, 2)))
             parts += both_ways(v, "cramers_v", "col_a", "col_b", "cramers_v")
-    if numbers:
-        for c in names:
-            parts += both_ways(correlation_ratio(df, c, numbers, None), "eta", "category", "column", "eta")
+    if numbers and names:
+        parts += both_ways(correlation_ratios(df, names, numbers, None), "eta", "category", "column", "eta")
     if len(numbers) > 1:
         r = pearson(df, list(itertools.combinations(numbers, 2)))
         parts += both_ways(r, "pearson", "col_a", "col_b", "r")

@@ -13,19 +13,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import materialize
+
 # A group with more distinct values than this is cut into ranges.
 HOT_GROUP_ROWS = 2_000_000
 RANGES_PER_GROUP = 400
 _HASH_SPACE = 1 << 40
 
 
-def _range_edges(df: DataFrame, group: list[str], order: str, hot_rows: int, ranges: int) -> DataFrame:
+def _range_borders(df: DataFrame, sizes: DataFrame, group: list[str], order: str, ranges: int) -> DataFrame:
     """Range borders of the big groups: ``(group, __blocks)``, blocks of sorted borders.
 
     The borders come from a sample drawn by a hash of the row, at a rate set from the exact group
-    size, so every evaluation of the plan finds the same ones, on any executor.
+    size: a few thousand values per group, whatever its size.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
     picked = df.join(sizes, group).filter(
         F.pmod(F.xxhash64(*group, order), F.lit(_HASH_SPACE)).cast("double") * F.col("__n")
         < F.lit(8.0 * ranges * _HASH_SPACE)
@@ -68,17 +69,25 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<name>_before``: the sum of ``name`` over the rows of the group with a smaller ``order``.
 
-    ``df`` holds one row per ``(group, order)``, as after ``groupBy(*group, order)``. Groups above
-    ``hot_rows`` rows are cut into about ``ranges`` value ranges that are summed apart; the range
-    totals (at most ``ranges`` rows per group) give each range its start.
+    ``df`` holds one row per ``(group, order)``, as after ``groupBy(*group, order)``; it is written
+    once, as the steps below read it several times. Groups above ``hot_rows`` rows are cut into about
+    ``ranges`` value ranges that are summed apart; the range totals (at most ``ranges`` rows per
+    group) give each range its start.
     """
     columns = list(df.columns)
     keys = list(group)
     if not keys:
         df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
-    tagged = df.join(_range_edges(df, keys, order, hot_rows, ranges), keys, "left").withColumn(
-        "__range", _range_of(order)
-    )
+    df = materialize(df, "folded")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
+    sizes = materialize(sizes, "big-groups")
+    zero = F.lit(0)
+    if sizes.isEmpty():
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*columns, *[F.coalesce(F.sum(c).over(before), zero).alias(f"{c}_before") for c in sums])
+    # Written, so that both uses below see the same borders and Spark knows their size.
+    borders = materialize(_range_borders(df, sizes, keys, order, ranges), "borders")
+    tagged = df.join(borders, keys, "left").withColumn("__range", _range_of(order))
     in_range = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     over_ranges = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -89,7 +98,6 @@ def running_totals(
     )
     local = tagged.drop("__blocks").select("*", *[F.sum(c).over(in_range).alias(f"__l_{c}") for c in sums])
     joined = local.join(starts, [*keys, "__range"], "left")
-    zero = F.lit(0)
     return joined.select(
         *columns,
         *[
@@ -113,8 +121,8 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[f
     placed = running_totals(counted, group, value, ["__c"], **limits)
     keys = list(group)
     if not keys:
-        counted, placed, keys = counted.withColumn("__g", F.lit(0)), placed.withColumn("__g", F.lit(0)), ["__g"]
-    totals = counted.groupBy(*keys).agg(F.sum("__c").alias("n"))
+        placed, keys = placed.withColumn("__g", F.lit(0)), ["__g"]
+    totals = placed.groupBy(*keys).agg(F.sum("__c").alias("n"))
     first, last = F.col("__c_before"), F.col("__c_before") + F.col("__c") - 1
     picks, outs = [], []
     for i, p in enumerate(probs):
@@ -174,7 +182,8 @@ def smallest_per_stratum(
         .filter(F.col("__rn") == F.col("__need"))
         .select(*keys, F.struct("__h", *[F.col(f"__k_{c}").alias(c) for c in key]).alias("__last"))
     )
-    rule = quotas.select(*keys, "quota").join(last_kept, keys, "left")
+    # One row per stratum, written: its size is then known, and Spark broadcasts it only if small.
+    rule = materialize(quotas.select(*keys, "quota").join(last_kept, keys, "left"), "quota")
     inside = F.col("__last").isNull() | (F.struct("__h", *key) <= F.col("__last"))
     kept = hashed.join(rule, keys).filter((F.col("quota") > 0) & inside)
     return kept.select(*[c for c in df.columns if c != "__one"])

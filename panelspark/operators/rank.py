@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.operators import ordering
 from panelspark.schema import ALERT_QUANTILE, ALERTS_PER_DAY, DISK_KEY
@@ -21,9 +22,15 @@ def daily_average_rank(df: DataFrame, score: str = "prob", date: str = "dt", **l
     return df.join(ranks, [date, score], "left").select(*df.columns, "rank")
 
 
+def _per_day(days: DataFrame, date: str) -> DataFrame:
+    """Broadcast a table of one short row per day: the range of the DATE type bounds it. Other types of
+    ``date`` are left to Spark."""
+    return F.broadcast(days) if isinstance(days.schema[date].dataType, T.DateType) else days
+
+
 def quantile_cut_flag(ranked: DataFrame, quantile: float = ALERT_QUANTILE, date: str = "dt", flag: str = "label") -> DataFrame:
     """Add 1 where the rank reaches ``quantile`` of the day's number of rows."""
-    sizes = ranked.groupBy(date).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = _per_day(ranked.groupBy(date).agg(F.count(F.lit(1)).alias("__n")), date)
     hit = F.coalesce((F.col("rank") >= F.col("__n") * F.lit(quantile)).cast("int"), F.lit(0))
     return ranked.join(sizes, date).select(*ranked.columns, hit.alias(flag))
 
@@ -46,7 +53,8 @@ def daily_alerts(
 
     Equal to rank, cut and top-n in that order. As the rank grows with the score, only the
     ``per_day`` highest distinct scores of a day can be alerts, and their ranks follow from the
-    number of rows above them.
+    number of rows above them. The lowest of them that passes the cut filters the rows in place;
+    only what is left is shuffled.
     """
     folded = df.groupBy(date, score).agg(F.count(F.lit(1)).alias("__ties"))
     sizes = folded.groupBy(date).agg(F.sum("__ties").alias("__n"))
@@ -61,7 +69,11 @@ def daily_alerts(
         .filter(F.col("rank") >= F.col("__n") * F.lit(quantile))
         .select(date, score, "rank")
     )
-    return top_per_day(df.join(top, [date, score]).select(*df.columns, "rank"), per_day, score, date, key)
+    lowest = _per_day(top.groupBy(date).agg(F.min(score).alias("__lowest")), date)
+    left = df.join(lowest, date).filter(F.col(score) >= F.col("__lowest"))
+    # Ties first go down to the daily cap, then the few rows left look up their rank.
+    best_rows = top_per_day(left.select(*df.columns), per_day, score, date, key)
+    return best_rows.join(top, [date, score]).select(*df.columns, "rank")
 
 
 def first_alert_per_disk(alerts: DataFrame, date: str = "dt", key: Sequence[str] = DISK_KEY) -> DataFrame:

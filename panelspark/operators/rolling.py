@@ -21,21 +21,14 @@ def last_rows(n: int, keys: Sequence[str] = DISK_KEY, date: str = "dt") -> Windo
     return by_disk(keys, date).rowsBetween(-(n - 1), 0)
 
 
-def rolling_min(c: str, n: int) -> Column:
-    return F.min(c).over(last_rows(n)).alias(f"{c}_min_{n}")
+_AGGREGATES = {"min": F.min, "max": F.max, "std": F.stddev_samp, "mean": F.avg}
 
 
-def rolling_max(c: str, n: int) -> Column:
-    return F.max(c).over(last_rows(n)).alias(f"{c}_max_{n}")
-
-
-def rolling_std(c: str, n: int) -> Column:
-    """Sample standard deviation; NULL where the frame has one value."""
-    return F.stddev_samp(c).over(last_rows(n)).alias(f"{c}_std_{n}")
-
-
-def rolling_mean(c: str, n: int) -> Column:
-    return F.avg(c).over(last_rows(n)).alias(f"{c}_mean_{n}")
+def rolling_stats(columns: Sequence[str], n: int, kinds: Sequence[str] = ("min", "max", "std")) -> list[Column]:
+    """``{column}_{kind}_{n}`` over the last ``n`` rows of the disk, kinds being ``min``, ``max``,
+    ``std`` (sample; NULL where the frame has one value) and ``mean``. All share one window."""
+    frame = last_rows(n)
+    return [_AGGREGATES[k](c).over(frame).alias(f"{c}_{k}_{n}") for k in kinds for c in columns]
 
 
 def _after_first(c: str, n: int) -> Column:
@@ -66,13 +59,16 @@ def shape_features(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
     return rows.select(*df.columns, *out)
 
 
-def period_diff(c: str, n: int) -> Column:
-    return (F.col(c) - F.lag(c, n).over(by_disk())).alias(f"{c}_diff_for_last_period_{n}")
+def period_diff(columns: Sequence[str], n: int) -> list[Column]:
+    """Change against the value ``n`` rows ago."""
+    w = by_disk()
+    return [(F.col(c) - F.lag(c, n).over(w)).alias(f"{c}_diff_for_last_period_{n}") for c in columns]
 
 
-def shift_lag(c: str, periods: int) -> Column:
-    """The value ``periods`` rows ago (the column keeps the name of the feature it stands for)."""
-    return F.lag(c, periods).over(by_disk()).alias(f"{c}_diff_with_last_period_{periods}")
+def shift_lag(columns: Sequence[str], periods: Sequence[int]) -> list[Column]:
+    """Values of earlier rows (the columns keep the name of the feature they stand for)."""
+    w = by_disk()
+    return [F.lag(c, p).over(w).alias(f"{c}_diff_with_last_period_{p}") for p in periods for c in columns]
 
 
 def add_rolling_slope(df: DataFrame, columns: Sequence[str], hours: str, n: int) -> DataFrame:

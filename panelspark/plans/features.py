@@ -103,12 +103,7 @@ def daily_features(df: DataFrame, continuous: Sequence[str], categories: Sequenc
     slopes = [c for c in S.SLOPE_SENSORS if c in sliding]
     read = df.select(*S.INDEX_COLUMNS, *labels, *categories, *continuous)
     dense = calendar.fill_calendar(rolling.add_rolling_slope(read, slopes, S.POWER_ON_HOURS, window))
-    made = [
-        *[rolling.rolling_min(c, window) for c in sliding],
-        *[rolling.rolling_max(c, window) for c in sliding],
-        *[rolling.rolling_std(c, window) for c in sliding],
-        *[rolling.period_diff(c, window) for c in sliding],
-    ]
+    made = rolling.rolling_stats(sliding, window) + rolling.period_diff(sliding, window)
     wide = dense.select("*", *made)
     fixed = {*S.INDEX_COLUMNS, *labels, *categories, "observed"}
     numbers = [c for c in wide.columns if c not in fixed]

@@ -21,9 +21,9 @@ def _sql7(expr: str) -> str:
     return f"SELECT * EXCLUDE (observed) FROM (SELECT serial_number, model, day AS dt, observed, {cols} FROM dense) WHERE observed"
 
 
-def _rolling(spark, sf, make):
+def _rolling(spark, sf, made):
     df = dense(spark, sf, *SLIDING)
-    out = df.select("serial_number", "model", "dt", "observed", *[make(c) for c in SLIDING])
+    out = df.select("serial_number", "model", "dt", "observed", *made)
     return rounded(calendar.observed_days(out))
 
 
@@ -100,22 +100,22 @@ def restrict_to_observed_days(spark, sf):
 
 @query("rolling_min", _sql7("round(min({c}) {w}, 6) + 0.0 AS {c}_min_7"), ("dense",))
 def rolling_min(spark, sf):
-    return _rolling(spark, sf, lambda c: rolling.rolling_min(c, 7))
+    return _rolling(spark, sf, rolling.rolling_stats(SLIDING, 7, ["min"]))
 
 
 @query("rolling_max", _sql7("round(max({c}) {w}, 6) + 0.0 AS {c}_max_7"), ("dense",))
 def rolling_max(spark, sf):
-    return _rolling(spark, sf, lambda c: rolling.rolling_max(c, 7))
+    return _rolling(spark, sf, rolling.rolling_stats(SLIDING, 7, ["max"]))
 
 
 @query("rolling_std", _sql7("round(stddev_samp({c}) {w}, 6) + 0.0 AS {c}_std_7"), ("dense",))
 def rolling_std(spark, sf):
-    return _rolling(spark, sf, lambda c: rolling.rolling_std(c, 7))
+    return _rolling(spark, sf, rolling.rolling_stats(SLIDING, 7, ["std"]))
 
 
 @query("rolling_mean", _sql7("round(avg({c}) {w}, 6) + 0.0 AS {c}_mean_7"), ("dense",))
 def rolling_mean(spark, sf):
-    return _rolling(spark, sf, lambda c: rolling.rolling_mean(c, 7))
+    return _rolling(spark, sf, rolling.rolling_stats(SLIDING, 7, ["mean"]))
 
 
 def _wide_window_sql() -> str:
@@ -132,8 +132,8 @@ def _wide_window_sql() -> str:
 @query("rolling_multi_window", _wide_window_sql(), ("dense",))
 def rolling_multi_window(spark, sf):
     df = dense(spark, sf, "smart_1_normalized")
-    makers = (rolling.rolling_min, rolling.rolling_max, rolling.rolling_std, rolling.rolling_mean)
-    cols = [m("smart_1_normalized", n) for n in (7, 14, 49) for m in makers]
+    kinds = ("min", "max", "std", "mean")
+    cols = [c for n in (7, 14, 49) for c in rolling.rolling_stats(["smart_1_normalized"], n, kinds)]
     return rounded(calendar.observed_days(df.select("serial_number", "model", "dt", "observed", *cols)))
 
 
@@ -199,7 +199,7 @@ _LAG = "OVER (PARTITION BY model, serial_number ORDER BY day)"
     ("dense",),
 )
 def period_diff(spark, sf):
-    return _rolling(spark, sf, lambda c: rolling.period_diff(c, 7))
+    return _rolling(spark, sf, rolling.period_diff(SLIDING, 7))
 
 
 @query(
@@ -211,7 +211,7 @@ def period_diff(spark, sf):
 )
 def shift_lag(spark, sf):
     df = dense(spark, sf, "smart_1_normalized")
-    cols = [rolling.shift_lag("smart_1_normalized", p) for p in range(1, 8)]
+    cols = rolling.shift_lag(["smart_1_normalized"], range(1, 8))
     return calendar.observed_days(df.select("serial_number", "model", "dt", "observed", *cols))
 
 
