@@ -30,9 +30,8 @@ def fill_calendar(
     until = F.coalesce(F.date_sub(F.lead(date).over(w), 1), F.lit(end).cast("date") if end else day)
     since = day
     if start:
-        since = F.when(F.lag(date).over(w).isNull(), F.least(F.lit(start).cast("date"), day)).otherwise(
-            F.greatest(day, F.lit(start).cast("date"))
-        )
+        bound = F.lit(start).cast("date")
+        since = F.when(F.lag(date).over(w).isNull(), bound).otherwise(F.greatest(day, bound))
     if end:
         until = F.least(until, F.lit(end).cast("date"))
     spans = df.withColumn("__since", since).withColumn("__until", until)

@@ -34,14 +34,20 @@ def _fold_copies(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     )
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances between the rows of two matrices, by differences to keep all digits."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
-    for i in range(0, len(a), step):
-        d = a[i : i + step, None, :] - b[None, :, :]
-        out[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
-    return out
+def _distance_function():
+    """Euclidean distances between the rows of two matrices, by differences to keep all digits.
+
+    Made as a closure, so that executors get it with the task and need not have this package.
+    """
+    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty((len(a), len(b)))
+        step = max(1, 4_000_000 // max(1, b.size))
+        for i in range(0, len(a), step):
+            d = a[i : i + step, None, :] - b[None, :, :]
+            out[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+        return out
+
+    return distances
 
 
 def nearest_neighbours(
@@ -54,6 +60,7 @@ def nearest_neighbours(
     seed: int = 42,
 ) -> DataFrame:
     """The k nearest other rows of each row: ``(key, rank, neighbour, distance)``, ties by key."""
+    distances = _distance_function()
     points = materialize(_fold_copies(df, key, vector, k), "points")
     total = points.count()
     wanted = max(1, min(pivots, math.ceil(total / block_rows)))
@@ -67,7 +74,7 @@ def nearest_neighbours(
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
-                d = _distances(np.stack(part["v"].to_numpy()), centers)
+                d = distances(np.stack(part["v"].to_numpy()), centers)
                 part = part.assign(cell=d.argmin(axis=1).astype("int32"), reach=d.min(axis=1))
                 yield part[["vid", "v", "ids", "cell", "reach"]]
 
@@ -84,7 +91,7 @@ def nearest_neighbours(
         """Best k ids of one block for each asking vector (its own copies included, itself not)."""
         if not len(asking) or not len(block):
             return pd.DataFrame({"vid": [], "found": []})
-        d = _distances(np.stack(asking["v"].to_numpy()), np.stack(block["v"].to_numpy()))
+        d = distances(np.stack(asking["v"].to_numpy()), np.stack(block["v"].to_numpy()))
         keep = min(k + 1, d.shape[1])
         found = []
         ids = block["ids"].to_numpy()
@@ -111,7 +118,7 @@ def nearest_neighbours(
         for part in parts:
             if not len(part):
                 continue
-            d = _distances(np.stack(part["v"].to_numpy()), chosen)
+            d = distances(np.stack(part["v"].to_numpy()), chosen)
             may = d - radii[None, :] <= part["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
             who, where = np.nonzero(may)
             times = block_counts[where]
