@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,16 +51,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def dedupe_disk_day(df: DataFrame, key: Sequence[str] = INDEX_COLUMNS, order: Sequence[str] | None = None) -> DataFrame:
     """One row per key: the first by ``order`` (all other columns by default, a total order).
 
-    Done as an aggregate, so copies are folded before the shuffle however many one key has.
+    Spark keeps one row per key and task before the shuffle, so copies of one key, however many,
+    never meet in one task.
     """
     rest = [c for c in df.columns if c not in key]
     if not rest:
         return df.distinct()
-    row = F.struct(*rest)
-    first = F.min(row) if order is None else F.min_by(row, F.struct(*order))
-    return df.groupBy(*key).agg(first.alias("__r")).select(
-        *[F.col(c) if c in key else F.col(f"__r.`{c}`").alias(c) for c in df.columns]
-    )
+    first = Window.partitionBy(*key).orderBy(*(rest if order is None else order))
+    return df.withColumn("__rn", F.row_number().over(first)).filter(F.col("__rn") == 1).drop("__rn")
 
 
 # --- missing values --------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import combine, metrics, rank, split
 from panelspark.registry import labelled, query, rounded, scored
 from panelspark.registry.ranking import first_cte
+from panelspark.session import materialize
 
 Q, CAP = 0.9, 10
 TRAIN, GAP, VALID = ("2024-01-04", "2024-01-14"), ("2024-01-15", "2024-01-19"), ("2024-01-20", "2024-01-30")
@@ -16,8 +17,9 @@ PRIOR = "2024-01-04"
 def evaluated(spark, sf):
     """Scored rows with a 0/1 ``tag`` and the alerts joined back."""
     df = scored(spark, sf).select("serial_number", "model", "dt", "flag", "prob", (F.col("tag") > 0).cast("int").alias("tag"))
+    df = materialize(df, "scored")
     alerts = rank.first_alert_per_disk(rank.daily_alerts(df.select("serial_number", "model", "dt", "prob"), quantile=Q, per_day=CAP))
-    return combine.merge_predictions(df, alerts.drop("prob").withColumn("pred", F.lit(1)))
+    return materialize(combine.merge_predictions(df, alerts.drop("prob").withColumn("pred", F.lit(1))), "evaluated")
 
 
 EVAL = first_cte(Q, CAP) + """,
@@ -108,7 +110,7 @@ def base(spark, sf):
     ("labelled",),
 )
 def gap_time_split(spark, sf):
-    return split.gap_time_split(base(spark, sf), TRAIN, VALID, GAP, PRIOR, valid_model=1)
+    return split.gap_time_split(materialize(base(spark, sf), "panel"), TRAIN, VALID, GAP, PRIOR, valid_model=1)
 
 
 FOLD_TRAIN = [("2024-01-01", "2024-01-10"), ("2024-01-06", "2024-01-15"), ("2024-01-11", "2024-01-20")]

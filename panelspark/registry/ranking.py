@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from panelspark.operators import combine, rank
 from panelspark.registry import query, rounded, scored
+from panelspark.session import materialize
 
 KEYS = "serial_number, model, dt, prob"
 RANK = "rank() OVER (PARTITION BY dt ORDER BY prob) + (count(*) OVER (PARTITION BY dt, prob) - 1) / 2"
@@ -26,7 +29,8 @@ def first_cte(quantile: float, cap: int) -> str:
 
 
 def _slim(spark, sf):
-    return scored(spark, sf).select("serial_number", "model", "dt", "prob")
+    """Scores written once: the rules below read them more than once."""
+    return materialize(scored(spark, sf).select("serial_number", "model", "dt", "prob"), "scored")
 
 
 @query("daily_avg_rank", f"SELECT serial_number, model, dt, round(prob, 6) AS prob, {RANK} AS rank FROM scored", ("scored",))
@@ -89,9 +93,7 @@ def first_alert_per_disk(spark, sf):
     ("scored",),
 )
 def merge_predictions(spark, sf):
-    from pyspark.sql import functions as F
-
-    df = scored(spark, sf).select("serial_number", "model", "dt", "tag", "prob")
+    df = materialize(scored(spark, sf).select("serial_number", "model", "dt", "tag", "prob"), "scored")
     alerts = rank.first_alert_per_disk(rank.daily_alerts(df.drop("tag"), quantile=0.9, per_day=3))
     marked = alerts.drop("prob").withColumn("pred", F.lit(1))
     return combine.merge_predictions(df.drop("prob"), marked)

@@ -8,6 +8,7 @@ from panelspark.functions import scalar
 from panelspark.operators import profile, sampling
 from panelspark.registry import labelled, query, table
 from panelspark.registry.evaluation import GAP, PRIOR, TRAIN, VALID
+from panelspark.session import materialize
 
 SEED = 42
 KEY = ["serial_number", "model", "dt"]
@@ -17,13 +18,15 @@ COLS = "serial_number, model, dt, flag, tag"
 
 
 def rows(spark, sf):
-    """Labelled rows with a power-on bucket (none for long-running disks) and a cluster-like label."""
+    """Labelled rows with a power-on bucket (none for long-running disks) and a cluster-like label,
+    written once, as a sample counts its strata before it picks."""
     days = scalar.power_on_days("smart_9raw")
-    return labelled(spark, sf).select(
+    df = labelled(spark, sf).select(
         *KEY, "flag", (F.col("tag") > 0).cast("int").alias("tag"),
         F.when(days < 80, F.floor(days / 20).cast("int")).alias("power_on_hours_in_day_unit_cate"),
         (F.col("smart_4raw").cast("int") % 3).alias("cluster_label"),
     )
+    return materialize(df, "labelled")
 
 
 ROWS = """rows AS (SELECT serial_number, model, dt, flag, CAST(tag > 0 AS INT) AS tag,
