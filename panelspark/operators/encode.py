@@ -86,11 +86,11 @@ def rare_to_other(df: DataFrame, column: str, limit: float = 0.005) -> DataFrame
     )
 
 
-def fit_vocabulary(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> dict[str, list[str]]:
+def fit_vocabulary(df: DataFrame, columns: Sequence[str], order: Sequence[str], most: int = 10_000) -> dict[str, list[str]]:
     """Values of each category column in order of first appearance.
 
-    Meant for columns that become one output column per value, so the vocabulary is as small as the
-    schema it creates.
+    The values become output columns, so more than ``most`` of them is an error, found before any
+    are brought to the driver.
     """
     text = df.select(F.struct(*order).alias("__o"), *[F.col(c).cast("string").alias(c) for c in columns])
     rows = (
@@ -99,8 +99,11 @@ def fit_vocabulary(df: DataFrame, columns: Sequence[str], order: Sequence[str])
         .groupBy("column", "value")
         .agg(F.min("__o").alias("first"))
         .orderBy("first")
+        .limit(most + 1)
         .collect()
     )
+    if len(rows) > most:
+        raise ValueError(f"more than {most} category values in {list(columns)}; encode them as codes instead")
     out: dict[str, list[str]] = {c: [] for c in columns}
     for r in rows:
         out[r["column"]].append(r["value"])

@@ -175,6 +175,7 @@ def smallest_per_stratum(
         & (F.col("__upto") - F.col("__c") < F.col("quota"))
         & (F.col("quota") > 0)
     ).select(*keys, "__p", (F.col("quota") - (F.col("__upto") - F.col("__c"))).alias("__need"))
+    cut = materialize(cut, "cut")
     order = [F.col("__h"), *[F.col(f"__k_{c}") for c in key]]
     last_kept = (
         narrow.join(cut, [*keys, "__p"])

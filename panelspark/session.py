@@ -27,16 +27,30 @@ def build_session(app: str = "panelspark", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def cluster_settings(input_bytes: int, partition_bytes: int = 192 << 20) -> dict[str, str]:
+    """Settings that follow from the amount of data: enough shuffle partitions that one fits in a
+    task's memory, which run-time coalescing then merges where a stage turns out smaller."""
+    partitions = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the cluster.
 
     Only where the session names none (local tests) a new temporary folder is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="panelspark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="panelspark-")
+    spark.sparkContext.setCheckpointDir(path)
     return path
 
 

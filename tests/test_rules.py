@@ -210,6 +210,20 @@ def test_numerical_encoding_single_label(spark):
     assert encode.numerical_encoding(df, ["i"], nominal=None).columns == df.columns
 
 
+def test_too_many_categories_are_refused(spark):
+    df = spark.range(50).select("id", F.col("id").cast("string").alias("k"))
+    with pytest.raises(ValueError, match="more than 20"):
+        encode.fit_vocabulary(df, ["k"], ["id"], most=20)
+    assert len(encode.fit_vocabulary(df, ["k"], ["id"], most=50)["k"]) == 50
+
+
+def test_settings_grow_with_the_data():
+    from panelspark.session import cluster_settings
+
+    assert cluster_settings(1)["spark.sql.shuffle.partitions"] == "200"
+    assert int(cluster_settings(100 << 40)["spark.sql.shuffle.partitions"]) > 500_000
+
+
 def test_missing_strategies(spark):
     df = spark.createDataFrame([(1.0, None), (None, 2.0), (3.0, 4.0)], "x double, y double")
     assert clean.missing_strategy(df, "replace").filter("x = 0 OR y = 0").count() == 2
