@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +17,14 @@ from panelspark.session import materialize
 
 @dataclass(frozen=True)
 class FittedFeatures:
-    """What the training data decided: kept sensors and power-on-day bin edges."""
+    """What the training data decided: kept sensors and power-on-day bin edges.
+
+    ``complete`` names sensors without a NULL in the table fitted on; it says nothing about others.
+    """
 
     sensors: list[str]
     day_edges: list[float]
+    complete: list[str] = field(default_factory=list)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -69,7 +73,8 @@ def fit_features(
         few = set(clean.fit_distinct_prune(cleaned, sensors, distinct_limit))
     empty = {c for c in sensors if round((1 - row[c][0] / max(row["rows"], 1)) * 100, 2) >= null_limit}
     edges = scalar.equal_width_edges(row["days"][0], row["days"][1], S.POWER_ON_DAY_BINS)
-    return FittedFeatures([c for c in sensors if c not in few | empty], edges)
+    complete = [c for c in sensors if row[c][0] == row["rows"]]
+    return FittedFeatures([c for c in sensors if c not in few | empty], edges, complete)
 
 
 def add_categories(df: DataFrame, day_edges: Sequence[float]) -> DataFrame:
@@ -91,13 +96,23 @@ def add_combined(df: DataFrame, missing: str = "error") -> DataFrame:
     return df.withColumns(sums).drop(*S.ZERO_HEAVY_SENSORS)
 
 
-def daily_features(df: DataFrame, continuous: Sequence[str], categories: Sequence[str], labels: Sequence[str], window: int = 7) -> DataFrame:
+def daily_features(
+    df: DataFrame,
+    continuous: Sequence[str],
+    categories: Sequence[str],
+    labels: Sequence[str],
+    window: int = 7,
+    complete: Sequence[str] = (),
+) -> DataFrame:
     """Calendar fill, rolling minimum, maximum, deviation, difference and slope, and forward fill.
 
     All windows partition by disk: the first one brings the rows together and the others stay there.
     Slopes stand on real readings only, so they are found before the calendar is filled, while rows
     are few and narrow; a filled day then repeats the slope before it, as the forward fill would.
     Labels ride along instead of being joined back.
+
+    A column known to be ``complete`` has no gaps behind its first rows in any of its features, so the
+    forward fill leaves them out.
     """
     sliding = [c for c in continuous if c not in S.NON_SLIDING_SENSORS]
     slopes = [c for c in S.SLOPE_SENSORS if c in sliding]
@@ -107,16 +122,33 @@ def daily_features(df: DataFrame, continuous: Sequence[str], categories: Sequenc
     wide = dense.select("*", *made)
     fixed = {*S.INDEX_COLUMNS, *labels, *categories, "observed"}
     numbers = [c for c in wide.columns if c not in fixed]
-    filled = calendar.observed_days(rolling.forward_fill(wide, numbers))
+    whole = {n for n in complete if n in numbers}
+    whole |= {f"{c}_{kind}_{window}" for c in complete for kind in ("min", "max", "std", "diff_for_last_period")}
+    gappy = [c for c in numbers if c not in whole]
+    filled = calendar.observed_days(rolling.forward_fill(wide, gappy) if gappy else wide)
     return filled.select(*S.INDEX_COLUMNS, *categories, *numbers, *labels)
 
 
-def build_features(cleaned: DataFrame, fitted: FittedFeatures, labels: Sequence[str] = (), window: int = 7, missing: str = "error") -> DataFrame:
-    """Feature table of a cleaned panel with the columns and bins of ``fitted``."""
+def build_features(
+    cleaned: DataFrame,
+    fitted: FittedFeatures,
+    labels: Sequence[str] = (),
+    window: int = 7,
+    missing: str = "error",
+    same_table: bool = False,
+) -> DataFrame:
+    """Feature table of a cleaned panel with the columns and bins of ``fitted``.
+
+    ``same_table`` tells that ``fitted`` comes from this very panel, so what it knows about missing
+    values holds.
+    """
     df = cleaned.select(*S.INDEX_COLUMNS, *labels, *[F.col(c).cast("double").alias(c) for c in fitted.sensors])
     df = add_combined(add_categories(df, fitted.day_edges), missing)
     roles = S.column_roles(df)
-    return daily_features(df, roles.continuous, roles.category, [c for c in labels if c in roles.label], window)
+    complete = set(fitted.complete) & set(fitted.sensors) if same_table else set()
+    sums = [n for n, w in S.COMBINED_SENSORS.items() if complete and set(w) & set(fitted.sensors) <= complete]
+    whole = [c for c in roles.continuous if c in complete or c in sums]
+    return daily_features(df, roles.continuous, roles.category, [c for c in labels if c in roles.label], window, whole)
 
 
 def training_features(
@@ -138,7 +170,7 @@ def training_features(
     if stage:
         cleaned = materialize(cleaned, "cleaned")
     fitted = fit_features(cleaned, sensors)
-    out = build_features(cleaned, fitted, ["tag", "flag"], window, missing)
+    out = build_features(cleaned, fitted, ["tag", "flag"], window, missing, same_table=True)
     if prune_features:
         out = materialize(out, "features")
         out = out.drop(*clean.fit_null_prune(out))

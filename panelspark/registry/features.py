@@ -314,7 +314,9 @@ def _feature_sql(edges: str, where: str = "true", labels: bool = True) -> str:
     names = CONTINUOUS + [f"{c}_{k}" for k in ("min_7", "max_7", "std_7", "diff_for_last_period_7") for c in sliding]
     names.append("smart_5raw_slope_for_last_duration_7")
     filled = ", ".join(
-        f"round(last_value({n} IGNORE NULLS) OVER u, {9 if '_slope_' in n else 6}) + 0.0 AS {n}" for n in names
+        f"round_even(last_value({n} IGNORE NULLS) OVER u * {f}, 0) / {f} + 0.0 AS {n}"
+        for n in names
+        for f in ["1e9" if "_slope_" in n else "1e6"]
     )
     tags = "CAST(tag > 0 AS TINYINT) AS tag, flag," if labels else ""
     keep = "tag, flag," if labels else ""
@@ -340,10 +342,13 @@ FITTED_EDGES = """SELECT lo - (hi - lo) * 0.001 AS low, hi AS high, lo + (hi - l
 
 
 def _feature_digits(df):
-    """Six digits, nine for slopes (see ``_shape``)."""
-    return df.select(
-        *[F.round(n, 9 if "_slope_" in n else 6).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes]
-    )
+    """Six digits, nine for slopes (see ``_shape``), half-even: plain arithmetic, as decimal rounding of
+    this many values would take longer than the features themselves."""
+    def digits(n: str):
+        f = F.lit(1e9 if "_slope_" in n else 1e6)
+        return (F.rint(F.col(n) * f) / f + 0.0).alias(n)
+
+    return df.select(*[digits(n) if t == "double" else F.col(n) for n, t in df.dtypes])
 
 
 FIXED_EDGES = "SELECT -9999 AS low, 9999 AS high, 452.75 AS e1, 905.5 AS e2, 1358.25 AS e3"

@@ -86,3 +86,13 @@ def test_associations_stay_in_range(spark, sf, theil):
     for r in assoc.associations(df, theil_u=theil).collect():
         low = -1.0 if r["measure"] == "pearson" else 0.0
         assert low - 1e-9 <= r["value"] <= 1 + 1e-9
+
+
+def test_skipping_complete_columns_changes_nothing(spark, sf):
+    df = registry.powered(spark, sf).select(*S.INDEX_COLUMNS, *COLS)
+    complete = [c for c in COLS if c != "smart_195_normalized"]
+    a = plan.daily_features(df, COLS, [], [])
+    b = plan.daily_features(df, COLS, [], [], complete=complete)
+    assert a.columns == b.columns
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in complete]).first() == tuple([0] * len(complete))
