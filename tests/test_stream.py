@@ -1,12 +1,13 @@
-"""The alert stream: same rows as the batch job, across restarts and repeated batches."""
+"""Sources, and the alert stream: same rows as the batch job, across restarts and repeated batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from panelspark import registry
-from panelspark.operators import rank
+from panelspark.operators import label, rank
 from panelspark.session import new_path
+from panelspark.sources import readers, writers
 from panelspark.streaming import alerts as stream
 
 
@@ -34,3 +35,32 @@ def test_restart_continues_and_nothing_repeats(spark, sf):
     late = df.filter("dt >= DATE '2024-01-11'")
     stream._alert_batch(late, 1, _score, out, 0.8, 2)
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == before
+
+
+def test_first_listed_fault_follows_the_files(spark, tmp_path):
+    first, second = tmp_path / "a.csv", tmp_path / "b.csv"
+    first.write_text("manufacturer,model,serial_number,fault_time,tag\nA,1,x,2018-03-31,2\nA,1,x,2018-03-10,5\nA,2,y,2018-01-05,0\n")
+    second.write_text("manufacturer,model,serial_number,fault_time,tag,key\nA,2,y,2018-01-01,4,k\nA,1,z,2018-02-02,6,k\n")
+    log = readers.scan_fault_log(spark, str(first), str(second))
+    assert log.count() == 5
+    got = {r["serial_number"]: (str(r["fault_time"]), r["fault_tag"]) for r in label.first_listed_fault(log).collect()}
+    assert got == {"x": ("2018-03-31", 2), "y": ("2018-01-05", 0), "z": ("2018-02-02", 6)}
+
+
+def test_daily_paths_cross_a_month():
+    assert readers.daily_paths("d", "2018-08-31", "2018-09-01", "s_{day}.csv") == ["d/s_20180831.csv", "d/s_20180901.csv"]
+
+
+def test_sequences_are_cut_into_files(spark, sf):
+    path = new_path(spark, "sequences")
+    writers.write_sequences(registry.labelled(spark, sf), path, ["smart_4raw"], length=5, rows_per_file=20)
+    sizes = spark.read.parquet(path).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert sizes <= 20
+
+
+def test_partitioned_days_are_pruned(spark, sf):
+    path = new_path(spark, "days")
+    registry.panel(spark, sf).select("dt", "serial_number", "smart_4raw").write.partitionBy("dt").parquet(path)
+    df = readers.scan_day_partitions(spark, path, "2024-01-03", "2024-01-04")
+    assert "PartitionFilters: [isnotnull(dt" in df._jdf.queryExecution().executedPlan().toString()
+    assert {str(r["dt"]) for r in df.select("dt").distinct().collect()} == {"2024-01-03", "2024-01-04"}
