@@ -74,18 +74,21 @@ class CompressionClassifier:
         return 1 / (1 + np.exp(-z))
 
 
-def _sample(labelled: DataFrame, label: str, key: str, text: str, settings: Settings) -> tuple[list[str], list[str]]:
-    """Texts of either class with the smallest hashes of their key, in that order."""
+def _sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, settings: Settings) -> tuple[list[str], list[str]]:
+    """Texts of either class with the smallest hashes of their key, in that order.
+
+    The sample is drawn on keys; its texts are then looked up by the drawn keys alone."""
     n = F.length("__text")
     start = F.greatest(F.lit(1), F.floor((n - settings.chars_per_row) / 2) + 1).cast("int")
-    rows = labelled.select(F.col(label).alias("__label"), F.col(key).alias("__key"), text_of(text).alias("__text"))
-    rows = rows.withColumn("__text", F.substring("__text", start, F.lit(settings.chars_per_row)))
-    order = F.sha1(F.coalesce(F.col("__key").cast("string"), F.lit("")))
-    found = []
-    for value in (1, 0):
-        part = rows.filter((F.col("__label") == value) & (n > 0))
-        found.append([r[0] for r in part.orderBy(order, "__key", "__text").limit(settings.rows_per_class).select("__text").collect()])
-    return found[0], found[1]
+    order = F.sha1(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    there = docs.filter(F.length(text) > 0).select(key)
+    known = labels.select(key, F.col(label).cast("int").alias("__label")).join(there, key, "left_semi").withColumn("__order", order)
+    drawn = [known.filter(F.col("__label") == v).orderBy("__order", key).limit(settings.rows_per_class) for v in (1, 0)]
+    keys = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 2 x rows_per_class rows
+    rows = docs.select(F.col(key), text_of(text).alias("__text")).join(keys, key)
+    rows = rows.select("__label", "__order", F.substring("__text", start, F.lit(settings.chars_per_row)).alias("__text"))
+    found = sorted(map(tuple, rows.collect()), key=lambda r: (r[1], r[2]))
+    return [t for v, _, t in found if v == 1], [t for v, _, t in found if v == 0]
 
 
 def _dictionary(values: list[str], settings: Settings) -> bytes:
@@ -115,13 +118,16 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w / scale)
 
 
-def fit(labelled: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> CompressionClassifier:
-    """Fit on rows with label 1 (good) and 0 (bad); other labels and empty texts are left out.
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text",
+    settings: Settings = Settings(),
+) -> CompressionClassifier:
+    """Fit on the documents with label 1 (good) and 0 (bad); other labels and empty texts are left out.
 
     Two thirds of the bounded sample train the dictionaries, the last third calibrates. With fewer
     than three rows of a class the score is that class share, the same for every text.
     """
-    good, bad = _sample(labelled, label, key, text, settings)
+    good, bad = _sample(docs, labels, label, key, text, settings)
     if min(len(good), len(bad)) < 3:
         odds = math.log((len(good) + 1) / (len(bad) + 1))
         return CompressionClassifier(b" ", b" ", (0.0, 0.0, 0.0, 0.0, odds), settings)

@@ -40,7 +40,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.filter(quality.remainder("doc_id", 5) != 0).select("doc_id", "quality")
-    model = quality.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = quality.fit(docs, known)
     scored = quality.add_score(docs.select("doc_id", "text"), model).drop("text")
     return scored.select(
         "doc_id", (quality.remainder("doc_id", 5) == 0).alias("held_out"), "score",
@@ -61,3 +61,4 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_mixing_sources")
 def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(table(spark, sf_dir, "documents"), max_repeats=2.0).drop("__row")
+
