@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import exact, mixing, packing, quality, tokens
+from panelspark.llm import exact, mixing, orderhash, packing, quality, tokens, urls
 from panelspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(table(spark, sf_dir, "documents"), max_repeats=2.0).drop("__row")
 
+
+@query("op2_order_minhash")
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.edit_and_compare(table(spark, sf_dir, "documents"))
+
+
+@query("op3_url_filters")
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
