@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +86,48 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         size += n or 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with equal integer ``keys``, from batches sorted by them."""
+    parts: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(int(c[start]) for c in columns)
+            if parts and key != last:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            last = key
+            parts.append(batch.slice(start, end - start))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+class WordHashes:
+    """64-bit hashes of words (bytes without white space), remembered while there is room."""
+
+    def __init__(self, limit: int = 1 << 20):
+        self.known: dict[bytes, int] = {}
+        self.limit = limit
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        for w in set(words) - self.known.keys():
+            self.known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit integers (a bijection)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

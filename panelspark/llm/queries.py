@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import exact, mixing, orderhash, packing, quality, tokens, urls
+from panelspark.llm import exact, mixing, neardup, orderhash, packing, quality, tokens, urls
 from panelspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,9 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
     return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op5_ngram_jaccard_join")
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "n_links", "n_linked_texts", (F.col("first") == F.col("__row")).alias("kept"))
