@@ -121,9 +121,11 @@ class WordHashes:
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > self.limit:
             self.known.clear()
-        for w in set(words) - self.known.keys():
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        known = self.known
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

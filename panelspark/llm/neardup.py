@@ -67,8 +67,8 @@ def shingle_sets(values: list[str], words: WordHashes, size: int) -> tuple[np.nd
         n = max(1, len(h) - size + 1) if len(h) else 0
         s = np.zeros(n, np.uint64)
         for j in range(min(size, len(h))):
-            s = mix64(s * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
-        s = np.unique(s)
+            s = s * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+        s = np.unique(mix64(s))
         found.append(s)
         counts.append(len(s))
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.array(counts, np.int64)
