@@ -135,7 +135,7 @@ class Counter:
             parts.append([p for piece in pieces if piece for p in self._pretokens(piece)])
         if len(self.known) > _CACHE_LIMIT:
             self.known.clear()
-        new = list({p for part in parts for p in part} - self.known.keys())
+        new = [p for p in {p for part in parts for p in part} if p not in self.known]
         if new:
             lengths = np.array([len(p) for p in new])
             counts = merge_counts(self.first[np.frombuffer(b"".join(new), np.uint8)], lengths, self.table)
