@@ -75,13 +75,12 @@ def factorize(df: DataFrame, column: str, order: str, code: str = "code") -> Dat
 
 def rare_to_other(df: DataFrame, column: str, limit: float = 0.005) -> DataFrame:
     """Replace values outside the frequent ones by ``other``. The frequent ones hold more than
-    ``limit`` of the rows each, so there are fewer than 1/``limit`` of them."""
-    few = F.broadcast if limit >= 0.001 else (lambda t: t)
+    ``limit`` of the rows each, so there are fewer than 1/``limit`` of them; Spark sees their size."""
     kept = profile.category_share(df, [column], limit=limit, least_categories=0).select(
         F.col("value").alias(column), F.lit(True).alias("__kept")
     )
     return (
-        df.join(few(kept), column, "left")
+        df.join(kept, column, "left")
         .withColumn(column, F.when(F.col("__kept"), F.col(column)).otherwise(F.lit("other")))
         .select(*df.columns)
     )

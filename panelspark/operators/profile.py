@@ -127,12 +127,11 @@ def density_profile(first: DataFrame, second: DataFrame, columns: Sequence[str],
             out = out.withColumn("value", F.when(v == 0, 0.0).when(v > 0, F.ln(v))).filter(F.col("value").isNotNull())
         return out.withColumn("is_first", F.lit(is_first))
 
-    # Repeated values fold before the shuffle; bounds and bins then work on the folded table.
-    values = long(first, True).unionByName(long(second, False)).groupBy("column", "value").agg(
-        F.count_if("is_first").alias("a"), F.count_if(~F.col("is_first")).alias("b")
-    )
+    # Two aggregates without a shuffle of values: a row per column and task, then one per bin and task.
+    values = long(first, True).unionByName(long(second, False))
     bounds = values.groupBy("column").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("a").alias("na"), F.sum("b").alias("nb")
+        F.min("value").alias("lo"), F.max("value").alias("hi"),
+        F.count_if("is_first").alias("na"), F.count_if(~F.col("is_first")).alias("nb"),
     )
     width = (F.col("hi") - F.col("lo")) / bins
     index = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
@@ -141,8 +140,8 @@ def density_profile(first: DataFrame, second: DataFrame, columns: Sequence[str],
         values.join(F.broadcast(bounds), "column")
         .groupBy("column", index.cast("int").alias("bin"))
         .agg(
-            F.try_divide(F.sum("a"), F.first("na")).alias("first_share"),
-            F.try_divide(F.sum("b"), F.first("nb")).alias("second_share"),
+            F.try_divide(F.count_if("is_first"), F.first("na")).alias("first_share"),
+            F.try_divide(F.count_if(~F.col("is_first")), F.first("nb")).alias("second_share"),
         )
     )
 

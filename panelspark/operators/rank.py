@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelspark.operators import ordering
 from panelspark.schema import ALERT_QUANTILE, ALERTS_PER_DAY, DISK_KEY
@@ -18,19 +17,20 @@ from panelspark.schema import ALERT_QUANTILE, ALERTS_PER_DAY, DISK_KEY
 
 def daily_average_rank(df: DataFrame, score: str = "prob", date: str = "dt", **limits: int) -> DataFrame:
     """Add ``rank``: ascending rank of the score within its day, ties sharing their mean."""
+    df = df.withColumn(score, _score(score))
     ranks = ordering.average_rank(df, [date], score, **limits).select(date, score, "rank")
     return df.join(ranks, [date, score], "left").select(*df.columns, "rank")
 
 
-def _per_day(days: DataFrame, date: str) -> DataFrame:
-    """Broadcast a table of one short row per day: the range of the DATE type bounds it. Other types of
-    ``date`` are left to Spark."""
-    return F.broadcast(days) if isinstance(days.schema[date].dataType, T.DateType) else days
+def _score(score: str) -> Column:
+    """The score with NaN as NULL, so that it never ranks first."""
+    value = F.col(score).cast("double")
+    return F.when(~F.isnan(value), F.col(score))
 
 
 def quantile_cut_flag(ranked: DataFrame, quantile: float = ALERT_QUANTILE, date: str = "dt", flag: str = "label") -> DataFrame:
     """Add 1 where the rank reaches ``quantile`` of the day's number of rows."""
-    sizes = _per_day(ranked.groupBy(date).agg(F.count(F.lit(1)).alias("__n")), date)
+    sizes = ranked.groupBy(date).agg(F.count(F.lit(1)).alias("__n"))
     hit = F.coalesce((F.col("rank") >= F.col("__n") * F.lit(quantile)).cast("int"), F.lit(0))
     return ranked.join(sizes, date).select(*ranked.columns, hit.alias(flag))
 
@@ -56,6 +56,7 @@ def daily_alerts(
     number of rows above them. The lowest of them that passes the cut filters the rows in place;
     only what is left is shuffled.
     """
+    df = df.withColumn(score, _score(score))
     folded = df.groupBy(date, score).agg(F.count(F.lit(1)).alias("__ties"))
     sizes = folded.groupBy(date).agg(F.sum("__ties").alias("__n"))
     best = Window.partitionBy(date).orderBy(F.col(score).desc())
@@ -69,7 +70,7 @@ def daily_alerts(
         .filter(F.col("rank") >= F.col("__n") * F.lit(quantile))
         .select(date, score, "rank")
     )
-    lowest = _per_day(top.groupBy(date).agg(F.min(score).alias("__lowest")), date)
+    lowest = top.groupBy(date).agg(F.min(score).alias("__lowest"))
     left = df.join(lowest, date).filter(F.col(score) >= F.col("__lowest"))
     # Ties first go down to the daily cap, then the few rows left look up their rank.
     best_rows = top_per_day(left.select(*df.columns), per_day, score, date, key)

@@ -44,22 +44,32 @@ def train_gbt(
     label: str = "tag",
     weight: Column | str | None = None,
     split: str | None = None,
-    tolerance: float = 0.01,
+    patience: int = EARLY_STOP_ROUNDS,
     leaves: bool = False,
     seed: int = 42,
     **params,
 ) -> PipelineModel:
-    """Fit boosted trees. ``split`` names a column whose ``valid`` rows steer early stopping;
+    """Fit boosted trees. ``split`` names a column whose ``valid`` rows steer early stopping: all rounds
+    are fitted on the other rows, and the trees up to the round that :func:`early_stop_round` finds
+    on the validation losses stay (as a fit of that many rounds: boosting starts alike).
     ``weight`` is a row weight (see :func:`balance_weight` and :func:`focal_weights`)."""
     if split is not None:
-        params = {**params, "validationIndicatorCol": "__valid", "validationTol": tolerance}
+        own = {"label": label, "weight": weight, "leaves": leaves, "seed": seed}
+        learn = df.filter(~F.col(split).eqNullSafe("valid"))
+        model = train_gbt(learn, continuous, category, **own, **params)
+        valid = df.filter(F.col(split) == "valid")
+        if weight is not None:  # the loss is weighted as in the fit
+            valid = valid.withColumn("__weight", F.col(weight) if isinstance(weight, str) else weight)
+        losses = loss_by_round(model, valid)
+        best, _ = early_stop_round(losses, patience)
+        if 0 < best < len(losses):
+            model = train_gbt(learn, continuous, category, **own, **{**params, "maxIter": best})
+        return model
     gbt = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, **params)
     rows = df
     if weight is not None:
         rows = rows.withColumn("__weight", F.col(weight) if isinstance(weight, str) else weight)
         gbt = gbt.setWeightCol("__weight")
-    if split is not None:
-        rows = rows.withColumn("__valid", F.col(split) == "valid")
     if leaves:
         gbt = gbt.setLeafCol("leaves")
     return Pipeline(stages=[*_assembly(continuous, category), gbt]).fit(rows)

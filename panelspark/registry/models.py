@@ -12,7 +12,7 @@ from panelspark.session import materialize, new_path
 
 INDEX = ["serial_number", "model", "dt"]
 FEATURES = ["smart_1_normalized", "smart_3_normalized", "smart_7_normalized", "smart_4raw", "smart_5raw", "smart_9raw", "smart_195_normalized"]
-SMALL = {"maxIter": 4, "maxDepth": 3}
+SMALL = {"maxIter": 12, "maxDepth": 3}
 
 
 def rows(spark, sf):

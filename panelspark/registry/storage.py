@@ -13,28 +13,34 @@ from panelspark.streaming import alerts as stream
 
 INDEX = ["serial_number", "model", "dt"]
 SMALL = ["smart_1_normalized", "smart_4raw", "smart_5raw"]
+NULLS = "smart_195_normalized"
+CSV_SQL = "SELECT serial_number, model, dt, smart_1_normalized, smart_4raw, smart_5raw, smart_195_normalized FROM panel"
 SMALL_SQL = "SELECT serial_number, model, dt, smart_1_normalized, smart_4raw, smart_5raw FROM panel"
 
 
-def _csv_rows(spark, sf):
-    return panel(spark, sf).select(F.date_format("dt", "yyyyMMdd").alias("dt"), "manufacturer", "model", "serial_number", *SMALL)
+def _csv_rows(spark, sf, *more):
+    """Rows as the original files have them: a leading index without a name, sensors in another order
+    than ours, one that nobody asks for, and NaN where the panel has NULL."""
+    sensors = [F.coalesce(F.col(c).cast("string"), F.lit("NaN")).alias(c) for c in (*reversed(SMALL), NULLS, "smart_12raw")]
+    rows = panel(spark, sf).withColumn("day", F.date_format("dt", "yyyyMMdd"))
+    number = F.monotonically_increasing_id().alias(" ")
+    return rows.select(number, "serial_number", *sensors, "manufacturer", "model", F.col("day").alias("dt"), *[F.col("day").alias(c) for c in more])
 
 
-@query("scan_csv_panel", SMALL_SQL, ("panel",))
+@query("scan_csv_panel", CSV_SQL, ("panel",))
 def scan_csv_panel(spark, sf):
     path = new_path(spark, "panel-csv")
-    rows = _csv_rows(spark, sf).withColumn("row_index", F.monotonically_increasing_id())
-    rows.select("row_index", "dt", "manufacturer", "model", "serial_number", *SMALL).write.option("header", True).csv(path)
-    return readers.scan_csv_panel(spark, path, SMALL).select(*INDEX, *SMALL)
+    _csv_rows(spark, sf).write.option("header", True).csv(path)
+    return readers.scan_csv_panel(spark, path, [*SMALL, NULLS]).select(*INDEX, *SMALL, NULLS)
 
 
-@query("scan_daily_files", SMALL_SQL + " WHERE dt BETWEEN DATE '2024-01-11' AND DATE '2024-01-13'", ("panel",))
+@query("scan_daily_files", CSV_SQL + " WHERE dt BETWEEN DATE '2024-01-11' AND DATE '2024-01-13'", ("panel",))
 def scan_daily_files(spark, sf):
     path = new_path(spark, "daily-csv")
-    rows = _csv_rows(spark, sf).withColumn("day", F.col("dt"))
+    rows = _csv_rows(spark, sf, "day")
     rows.hint("rebalance", "day").write.partitionBy("day").option("header", True).csv(path)
     return readers.scan_daily_files(
-        spark, path, "2024-01-11", "2024-01-13", [*INDEX, *SMALL], SMALL, pattern="day={day}"
+        spark, path, "2024-01-11", "2024-01-13", [*INDEX, *SMALL, NULLS], [*SMALL, NULLS], pattern="day={day}"
     )
 
 
@@ -59,7 +65,7 @@ def scan_columns(spark, sf):
 def load_panel(spark, sf):
     store, drop = new_path(spark, "store"), new_path(spark, "drop")
     panel(spark, sf).select(*INDEX, *SMALL).write.parquet(store)
-    rows = _csv_rows(spark, sf).withColumn("day", F.col("dt"))
+    rows = _csv_rows(spark, sf, "day")
     rows.hint("rebalance", "day").write.partitionBy("day").option("header", True).csv(drop)
     wanted = [*INDEX, "smart_4raw"]
     train = readers.load_panel(spark, store, True, columns=wanted)
@@ -180,13 +186,9 @@ def _stream_score(df):
     ("scored",),
 )
 def stream_daily_alerts(spark, sf):
-    """Drops of five days each arrive one after the other; the result equals the batch job."""
+    """Every day comes in several files and several batches; the result equals the batch job."""
     drop, out, state = new_path(spark, "drops"), new_path(spark, "alerts"), new_path(spark, "state")
     df = panel(spark, sf).select(*INDEX, "smart_4raw")
-    first = F.lit("2024-01-01").cast("date")
-    pieces = df.withColumn("piece", F.floor(F.datediff("dt", first) / 5))
-    for i in range(6):
-        pieces.filter(F.col("piece") == i).drop("piece").coalesce(1).write.mode("append").option("header", True).csv(drop)
-    schema = df.schema
-    stream.stream_daily_alerts(spark, drop, schema, out, state, _stream_score, 0.9, 3).awaitTermination()
-    return spark.read.parquet(out).select("manufacturer", "model", "serial_number", "dt")
+    df.repartition("serial_number").write.option("header", True).csv(drop)  # a file has rows of all days
+    stream.stream_daily_alerts(spark, drop, df.schema, out, state, _stream_score, 0.9, 3, files_per_batch=3).awaitTermination()
+    return stream.read_alerts(spark, out).select("manufacturer", "model", "serial_number", "dt")

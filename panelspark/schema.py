@@ -92,10 +92,9 @@ FAULT_SCHEMA = T.StructType(
 )
 
 
-def panel_schema(sensors: list[str] | None = None, row_index: bool = False) -> T.StructType:
-    """Explicit schema of a sensor CSV; ``row_index`` adds the unnamed first column."""
-    fields = [T.StructField("row_index", T.LongType())] if row_index else []
-    fields += [
+def panel_schema(sensors: list[str] | None = None) -> T.StructType:
+    """Names and types of the columns wanted from a sensor CSV."""
+    fields = [
         T.StructField("dt", T.StringType()),
         T.StructField("manufacturer", T.StringType()),
         T.StructField("model", T.IntegerType()),

@@ -22,16 +22,37 @@ ALERT_SCHEMA = T.StructType(
 
 
 def _alert_batch(batch: DataFrame, batch_id: int, score: Callable[[DataFrame], DataFrame], out: str, quantile: float, per_day: int) -> None:
-    """Write the disks alerted for the first time by one batch.
+    """Rank the days that a batch brings rows of, whole, and write the alerts that now hold.
 
-    Every batch has its own partition and is written with overwrite, and only earlier batches count
-    as history, so a batch that is run again after a failure gives the same rows.
+    Scores are kept by batch and day beside ``out``. A day that gets more rows later is ranked anew
+    from all its rows, so the result does not depend on how days are spread over files. Every batch
+    writes only its own folders, with overwrite, and reads only its own and earlier ones, so a batch
+    that is run again after a failure gives the same rows.
     """
     spark = batch.sparkSession
-    alerts = rank.submission(rank.daily_alerts(score(batch), quantile=quantile, per_day=per_day))
-    past = spark.read.schema(T.StructType([*ALERT_SCHEMA.fields, T.StructField("batch", T.LongType())])).parquet(out)
-    known = past.filter(F.col("batch") < batch_id).select(*DISK_KEY)
-    alerts.join(known, DISK_KEY, "left_anti").select(*ALERT_SCHEMA.names).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    scores, ranked = f"{out}_scores", f"{out}_days"
+    mine = score(batch).select(*DISK_KEY, "dt", "prob")
+    mine.write.mode("overwrite").partitionBy("dt").parquet(f"{scores}/batch={batch_id}")
+    kept = mine.schema.add("batch", T.LongType())
+    so_far = spark.read.schema(kept).option("basePath", scores).parquet(scores).filter(F.col("batch") <= batch_id)
+    touched = so_far.filter(F.col("batch") == batch_id).select("dt").distinct()
+    alerts = rank.daily_alerts(so_far.drop("batch").join(touched, "dt", "left_semi"), quantile=quantile, per_day=per_day)
+    alerts.select(*DISK_KEY, "dt").write.mode("overwrite").parquet(f"{ranked}/batch={batch_id}")
+    # At most ``per_day`` alerts a day from here on; of each day those of the last batch with rows of it.
+    last = so_far.groupBy("dt").agg(F.max("batch").alias("batch"))
+    days = spark.read.schema(alerts.select(*DISK_KEY, "dt").schema.add("batch", T.LongType())).parquet(ranked).join(last, ["dt", "batch"])
+    rank.submission(days.drop("batch")).select(*ALERT_SCHEMA.names).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+
+def read_alerts(spark: SparkSession, out: str) -> DataFrame:
+    """The alerts that hold after the last finished batch: disks at their first alert."""
+    every = spark.read.schema(T.StructType([*ALERT_SCHEMA.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    # The folder names tell the last batch, also where it has no alerts.
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(out)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    done = [int(f.getPath().getName()[len("batch="):]) for f in listed if f.getPath().getName().startswith("batch=")]
+    return every.filter(F.col("batch") == max(done)).select(*ALERT_SCHEMA.names)
 
 
 def stream_daily_alerts(
@@ -43,14 +64,15 @@ def stream_daily_alerts(
     score: Callable[[DataFrame], DataFrame],
     quantile: float = ALERT_QUANTILE,
     per_day: int = ALERTS_PER_DAY,
-    files_per_batch: int = 1,
+    files_per_batch: int = 100,
     file_format: str = "csv",
 ):
-    """Score each new file, rank its days and append the disks never alerted before.
+    """Score each new file, rank its days with what is known of them and write the alerts that hold
+    (see :func:`read_alerts`).
 
-    A day must be complete within one batch, so by default a batch is one file. ``score`` maps the
-    rows read to ``serial_number, model, dt, prob``. Processes what is there and stops; restarting
-    with the same checkpoint goes on with new files.
+    A day may come in any number of files and batches. ``score`` maps the rows read to
+    ``serial_number, model, dt, prob`` and runs once a batch. Processes what is there and stops;
+    restarting with the same checkpoint goes on with new files.
     """
     spark.createDataFrame([], ALERT_SCHEMA).write.mode("ignore").parquet(f"{out}/batch=-1")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)

@@ -333,3 +333,22 @@ def test_fault_type_matrix_is_zero_filled(spark):
 def test_rare_values_become_other(spark):
     df = spark.createDataFrame([("a",)] * 9 + [("b",)], "k string")
     assert sorted(r[0] for r in encode.rare_to_other(df, "k", 0.2).collect()) == ["a"] * 9 + ["other"]
+
+
+def test_early_stop_decides_the_model(spark):
+    rows = [(i, float(i % 17), float((i * 7) % 5), int((i * 37) % 100 < 30 + 3 * (i % 17)), "valid" if i % 3 == 0 else "train") for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, tag int, split string")
+    params = {"maxIter": 12, "maxDepth": 2, "stepSize": 0.3}
+    full = trees.train_gbt(df.filter("split = 'train'"), ["a", "b"], **params)
+    losses = trees.loss_by_round(full, df.filter("split = 'valid'"))
+    kept = trees.train_gbt(df, ["a", "b"], split="split", patience=2, **params)
+    assert trees.trees_of(kept).getNumTrees == trees.early_stop_round(losses, 2)[0]
+    clear = df.withColumn("tag", (F.col("a") > 8).cast("int"))  # every round gains, each of them under 1 %
+    slow = trees.train_gbt(clear, ["a", "b"], split="split", maxIter=6, maxDepth=2, stepSize=0.01)
+    assert trees.trees_of(slow).getNumTrees == 6
+
+
+def test_nan_never_alerts(spark):
+    rows = [("a", 1, "2018-01-01", float("nan")), ("b", 1, "2018-01-01", 0.5), ("c", 1, "2018-01-01", 0.1)]
+    df = spark.createDataFrame(rows, "serial_number string, model int, dt string, prob double")
+    assert [r.serial_number for r in rank.daily_alerts(df, quantile=0.1, per_day=1).collect()] == ["b"]

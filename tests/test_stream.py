@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelspark import registry
@@ -13,7 +14,7 @@ from panelspark.streaming import alerts as stream
 
 def _drop(df, path, first, last):
     span = df.filter(F.col("dt").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    span.coalesce(1).write.mode("append").option("header", True).csv(path)
+    span.repartition(3, "serial_number").write.mode("append").option("header", True).csv(path)
 
 
 def _score(df):
@@ -26,15 +27,28 @@ def test_restart_continues_and_nothing_repeats(spark, sf):
     drop, out, state = new_path(spark, "drop"), new_path(spark, "out"), new_path(spark, "state")
     for first, last in (("2024-01-01", "2024-01-10"), ("2024-01-11", "2024-01-30")):
         _drop(df, drop, first, last)
-        stream.stream_daily_alerts(spark, drop, df.schema, out, state, _score, 0.8, 2).awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(out).select("manufacturer", "model", "serial_number", "dt").collect()}
+        stream.stream_daily_alerts(spark, drop, df.schema, out, state, _score, 0.8, 2, files_per_batch=2).awaitTermination()
+    got = {tuple(r) for r in stream.read_alerts(spark, out).collect()}
     want = {tuple(r) for r in rank.submission(rank.daily_alerts(_score(df), quantile=0.8, per_day=2)).collect()}
     assert got == want and len(got) > 2
-    # The same batch once more, as after a failure: its rows are replaced by equal ones.
-    before = sorted(map(tuple, spark.read.parquet(out).collect()))
-    late = df.filter("dt >= DATE '2024-01-11'")
-    stream._alert_batch(late, 1, _score, out, 0.8, 2)
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == before
+    # The last batch once more, as after a failure: its rows are replaced by equal ones.
+    last = spark.read.parquet(f"{out}_scores").agg(F.max("batch")).first()[0]
+    again = spark.createDataFrame(spark.read.parquet(f"{out}_scores").filter(F.col("batch") == last).drop("batch").toPandas())
+    again = again.withColumn("model", F.col("model").cast("int"))
+    stream._alert_batch(again, last, lambda scored: scored, out, 0.8, 2)
+    assert {tuple(r) for r in stream.read_alerts(spark, out).collect()} == want
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    a, b = tmp_path / "a.csv", tmp_path / "b.csv"
+    a.write_text(",serial_number,smart_5raw,manufacturer,smart_9raw,model,dt\n0,x,1.5,A,NaN,2,20180101\n")
+    b.write_text(",serial_number,dt,manufacturer,smart_9raw,model,smart_5raw\n0,y,20180102,A,3,1,4\n")
+    got = readers.scan_csv_panel(spark, str(a), ["smart_9raw", "smart_5raw"]).first()
+    assert (got.serial_number, got.model, str(got.dt), got.smart_9raw, got.smart_5raw) == ("x", 2, "2018-01-01", None, 1.5)
+    with pytest.raises(ValueError):
+        readers.scan_csv_panel(spark, str(a), ["smart_1_normalized"])
+    with pytest.raises(Exception):
+        readers.scan_csv_panel(spark, [str(a), str(b)], ["smart_9raw"]).collect()  # headers differ
 
 
 def test_first_listed_fault_follows_the_files(spark, tmp_path):
