@@ -139,25 +139,26 @@ def next_rows(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
 
 
 def edit_and_compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+    """``key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id``.
 
     The edited text ends with the beginning of the next text, by ascending key (null first; equal
     keys in the order of their rows), in place of its last half. A single row is its own next. Null
-    text is empty. Whole texts go through two shuffles by row, half a text through a third.
+    text is empty. Whole texts go through one shuffle by row, half a text through a second.
     """
     scratch = Scratch(docs.sparkSession, "orderhash")
+    # Both joins below read the same columns by row, so that one exchange of the texts serves them.
     rows = with_row(docs, scratch).select("__row", F.col(key).alias("__key"), text_of(text).alias("__text"))
-    rows = rows.withColumn("__n", F.length("__text"))
-    slim = rows.select("__key", "__row", "__n")
+    n = F.length("__text")
+    slim = rows.select("__key", "__row", n.alias("__n"))
     links = scratch.write(next_rows(slim, ["__key", "__row"], scratch).join(slim.select("__row", "__n"), "__row"), "links")
     heads = rows.join(
         links.select(F.col("__row").alias("__before"), F.col("__next").alias("__row"), F.floor(F.col("__n") / 2).cast("int").alias("__half")),
         "__row",
-    ).select(F.col("__before").alias("__row"), F.substring("__text", F.lit(1), F.col("__half")).alias("__head"))
+    ).select(F.col("__before").alias("__row"), F.col("__key").alias("__next_key"), F.substring("__text", F.lit(1), F.col("__half")).alias("__head"))
     both = rows.join(heads, "__row").withColumn(
-        "__edited", F.concat(F.substring("__text", F.lit(1), F.col("__n") - F.floor(F.col("__n") / 2).cast("int")), "__head"))
+        "__edited", F.concat(F.substring("__text", F.lit(1), n - F.floor(n / 2).cast("int")), "__head"))
     signed = fingerprint(fingerprint(both, "__text", "__own"), "__edited", "__other").select(
-        "__row", "__key", "__n", F.sha2("__edited", 256).alias("edited_sha256"), "__own", "__other")
+        "__row", "__key", "__next_key", n.alias("__n"), F.sha2("__edited", 256).alias("edited_sha256"), "__own", "__other")
     signed = scratch.write(signed, "signed")
     following = signed.select(F.col("__row").alias("__next"), F.col("__own").alias("__following"))
     out = signed.join(links.select("__row", "__next"), "__row").join(following, "__next")
@@ -166,4 +167,5 @@ def edit_and_compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         as_text(F.col("__own")).alias("fingerprint"), as_text(F.col("__other")).alias("edited_fingerprint"),
         likeness(F.col("__own"), F.col("__other")).alias("near_edited"),
         likeness(F.col("__own"), F.col("__following")).alias("near_next"),
+        F.col("__next_key").alias("next_id"),
     )
