@@ -509,3 +509,18 @@ def test_word_hashes_forget():
     words = WordHashes(limit=2)
     first = words.of([b"a", b"b", b"c"]).tolist()
     assert words.of([b"c", b"a"]).tolist() == [first[2], first[0]]
+
+
+def test_packing_of_many_small_pieces():
+    for small in ({1: 5000}, {1: 700, 2: 3000}, {3: 9000, 7: 1}, {5: 400, 11: 350, 4090: 3}):
+        counts = np.zeros(4097, np.int64)
+        for length, n in small.items():
+            counts[length] = n
+        found = packing.BinCompletion(counts, 4096).solve()
+        placed = collections.Counter()
+        for filling, times in found:
+            assert sum(length * n for length, n in filling) <= 4096
+            for length, n in filling:
+                placed[length] += n * times
+        assert placed == small
+        assert sum(t for _, t in found) <= -(-sum(a * b for a, b in small.items()) // 4096) + 1
