@@ -208,7 +208,7 @@ def _kolmogorov_sf(z: Column) -> Column:
     return F.when(z <= 0, 1.0).when(z < 1, 1 - math.sqrt(2 * math.pi) / z * small).otherwise(2 * large)
 
 
-def ks_two_sample(df: DataFrame, label: str, columns: Sequence[str], positive: int = 1, **limits: int) -> DataFrame:
+def ks_two_sample(df: DataFrame, label: str, columns: Sequence[str], positive: int = 1, ranges: int | None = None) -> DataFrame:
     """Two-sample KS statistic and asymptotic p-value per column, label = ``positive`` against the rest.
 
     Equal values are folded first; running totals of both samples give the distance at each value.
@@ -219,7 +219,7 @@ def ks_two_sample(df: DataFrame, label: str, columns: Sequence[str], positive: i
     sizes = folded.groupBy("column").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     gap = F.abs((F.col("a_before") + F.col("a")) / F.col("n1") - (F.col("b_before") + F.col("b")) / F.col("n2"))
     out = (
-        ordering.running_totals(folded, ["column"], "value", ["a", "b"], **limits)
+        ordering.running_totals(folded, ["column"], "value", ["a", "b"], ranges)
         .join(F.broadcast(sizes.filter("n1 > 0 AND n2 > 0")), "column")  # one row per column name
         .groupBy("column", "n1", "n2")
         .agg(F.max(gap).alias("statistic"))

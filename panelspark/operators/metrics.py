@@ -68,7 +68,7 @@ def classification_report(df: DataFrame, label: str = "tag", pred: str = "pred")
     )
 
 
-def auc(df: DataFrame, score: str = "prob", label: str = "tag", **limits: int) -> DataFrame:
+def auc(df: DataFrame, score: str = "prob", label: str = "tag", ranges: int | None = None) -> DataFrame:
     """Exact area under the ROC curve, equal scores counting half.
 
     Each positive counts the negatives below it; scores are folded first and the negatives below a
@@ -78,6 +78,6 @@ def auc(df: DataFrame, score: str = "prob", label: str = "tag", **limits: int) -
     folded = scored.groupBy(score).agg(
         F.count_if(F.col(label) > 0).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    below = ordering.running_totals(folded, [], score, ["neg"], **limits)
+    below = ordering.running_totals(folded, [], score, ["neg"], ranges)
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return below.agg(F.try_divide(F.try_divide(wins, F.sum("pos")), F.sum("neg")).alias("auc"))

@@ -2,8 +2,8 @@
 
 A window that orders a whole group puts that group into one task. The functions here give the same
 exact answers (positions, ranks, quantiles, the n smallest) without that: ties are collapsed by a
-partial aggregate first, big groups are cut into value ranges, and only range totals are added up
-per group.
+partial aggregate first, Spark range-partitions what is left, and only the totals of the ranges are
+added up per group.
 """
 
 from __future__ import annotations
@@ -15,114 +15,65 @@ from pyspark.sql import functions as F
 
 from panelspark.session import materialize
 
-# A group with more distinct values than this is cut into ranges.
-HOT_GROUP_ROWS = 2_000_000
-RANGES_PER_GROUP = 400
-_HASH_SPACE = 1 << 40
+_PREFIX_DIGITS = 3  # hash digits that one refinement of a stratum adds
+_HASH_DIGITS = 32
 
 
-def _range_borders(df: DataFrame, sizes: DataFrame, group: list[str], order: str, ranges: int) -> DataFrame:
-    """Range borders of the big groups: ``(group, __blocks)``, blocks of sorted borders.
-
-    The borders come from a sample drawn by a hash of the row, at a rate set from the exact group
-    size: a few thousand values per group, whatever its size.
-    """
-    picked = df.join(sizes, group).filter(
-        F.pmod(F.xxhash64(*group, order), F.lit(_HASH_SPACE)).cast("double") * F.col("__n")
-        < F.lit(8.0 * ranges * _HASH_SPACE)
-    )
-    per_block = max(1, round(ranges**0.5))
-    borders = F.transform(
-        F.sequence(F.lit(1), F.lit(ranges - 1)),
-        lambda i: F.element_at("__s", F.greatest(F.lit(1), F.floor(i * F.size("__s") / ranges)).cast("int")),
+def _placed(df: DataFrame, group: Sequence[str], order: str, sums: Sequence[str], ranges: int | None) -> DataFrame:
+    """``df`` with ``<name>_before`` and the group's total ``<name>_total`` of each of ``sums``."""
+    keys = list(group)
+    by = [*keys, order]
+    ranged = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    # Written with the range's number: the borders are sampled, and both uses below must see the same ones.
+    ranged = materialize(ranged.withColumn("__range", F.spark_partition_id()), "ranges")
+    zero = F.lit(0)
+    whole = Window.partitionBy(*keys)  # at most one row per range for a group
+    earlier = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums]).select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys],
+        F.col("__range").alias("__k_range"),
+        *[F.coalesce(F.sum(f"__t_{c}").over(earlier), zero).alias(f"__s_{c}") for c in sums],
+        *[F.sum(f"__t_{c}").over(whole).alias(f"{c}_total") for c in sums],
     )
-    return (
-        picked.groupBy(*group)
-        .agg(F.sort_array(F.collect_list(order)).alias("__s"))
-        .select(*group, F.array_distinct(borders).alias("__borders"))
-        .select(
-            *group,
-            F.transform(
-                F.sequence(F.lit(0), F.floor((F.size("__borders") - 1) / per_block).cast("int")),
-                lambda b: F.slice("__borders", b * per_block + 1, per_block),
-            ).alias("__blocks"),
-        )
+    inside = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), zero).alias(f"__l_{c}") for c in sums])
+    same = F.col("__range") == F.col("__k_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return local.join(starts, same).select(
+        *df.columns,
+        *[(F.col(f"__l_{c}") + F.col(f"__s_{c}")).alias(f"{c}_before") for c in sums],
+        *[f"{c}_total" for c in sums],
     )
 
 
-def _range_of(order: str) -> Column:
-    """Index of the value range: first the block, then the border inside it."""
-    value = F.col(order)
-    full = F.size(F.filter("__blocks", lambda block: F.element_at(block, -1) < value))
-    inside = F.size(F.filter(F.get("__blocks", full), lambda border: border < value))
-    index = full * 10_000 + F.greatest(inside, F.lit(0))
-    return F.when(F.col("__blocks").isNull(), F.lit(0)).otherwise(index)
-
-
 def running_totals(
-    df: DataFrame,
-    group: Sequence[str],
-    order: str,
-    sums: Sequence[str],
-    hot_rows: int = HOT_GROUP_ROWS,
-    ranges: int = RANGES_PER_GROUP,
+    df: DataFrame, group: Sequence[str], order: str, sums: Sequence[str], ranges: int | None = None
 ) -> DataFrame:
     """Add ``<name>_before``: the sum of ``name`` over the rows of the group with a smaller ``order``.
 
-    ``df`` holds one row per ``(group, order)``, as after ``groupBy(*group, order)``; it is written
-    once, as the steps below read it several times. Groups above ``hot_rows`` rows are cut into about
-    ``ranges`` value ranges that are summed apart; the range totals (at most ``ranges`` rows per
-    group) give each range its start.
+    ``df`` holds one row per ``(group, order)``, as after ``groupBy(*group, order)``. It is
+    range-partitioned by both, into ``ranges`` ranges (by default the session's number of shuffle
+    partitions, which grows with the input), and written once. Each range of a group is summed apart;
+    the totals, one row per range and group, give each its start. NULL groups are groups.
     """
-    columns = list(df.columns)
-    keys = list(group)
-    if not keys:
-        df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
-    df = materialize(df, "folded")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
-    sizes = materialize(sizes, "big-groups")
-    zero = F.lit(0)
-    if sizes.isEmpty():
-        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(*columns, *[F.coalesce(F.sum(c).over(before), zero).alias(f"{c}_before") for c in sums])
-    # Written, so that both uses below see the same borders and Spark knows their size.
-    borders = materialize(_range_borders(df, sizes, keys, order, ranges), "borders")
-    tagged = df.join(borders, keys, "left").withColumn("__range", _range_of(order))
-    in_range = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    over_ranges = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        tagged.filter(F.col("__blocks").isNotNull())
-        .groupBy(*keys, "__range")
-        .agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
-        .select(*keys, "__range", *[F.sum(f"__t_{c}").over(over_ranges).alias(f"__s_{c}") for c in sums])
-    )
-    local = tagged.drop("__blocks").select("*", *[F.sum(c).over(in_range).alias(f"__l_{c}") for c in sums])
-    joined = local.join(starts, [*keys, "__range"], "left")
-    return joined.select(
-        *columns,
-        *[
-            (F.coalesce(F.col(f"__l_{c}"), zero) + F.coalesce(F.col(f"__s_{c}"), zero)).alias(f"{c}_before")
-            for c in sums
-        ],
-    )
+    return _placed(df, group, order, sums, ranges).drop(*[f"{c}_total" for c in sums])
 
 
-def average_rank(df: DataFrame, group: Sequence[str], value: str, **limits: int) -> DataFrame:
+def average_rank(df: DataFrame, group: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
     """Ascending rank per group with ties sharing their mean: ``(group, value, ties, rank)``."""
     ties = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("ties"))
-    return running_totals(ties, group, value, ["ties"], **limits).select(
+    return running_totals(ties, group, value, ["ties"], ranges).select(
         *group, value, "ties", (F.col("ties_before") + (F.col("ties") + 1) / 2).alias("rank")
     )
 
 
-def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], **limits: int) -> DataFrame:
+def quantiles(
+    df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], ranges: int | None = None
+) -> DataFrame:
     """Exact linear-interpolation quantiles per group as columns ``q0, q1, …`` next to ``n``."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
-    placed = running_totals(counted, group, value, ["__c"], **limits)
-    keys = list(group)
-    if not keys:
-        placed, keys = placed.withColumn("__g", F.lit(0)), ["__g"]
-    totals = placed.groupBy(*keys).agg(F.sum("__c").alias("n"))
+    placed = _placed(counted, group, value, ["__c"], ranges).withColumnRenamed("__c_total", "n")
     first, last = F.col("__c_before"), F.col("__c_before") + F.col("__c") - 1
     picks, outs = [], []
     for i, p in enumerate(probs):
@@ -131,7 +82,7 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[f
         picks.append(F.max(F.when(F.ceil(spot).between(first, last), F.col(value))).alias(f"__hi{i}"))
         share = spot - F.floor(spot)
         outs.append((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * share).alias(f"q{i}"))
-    return placed.join(totals, keys).groupBy(*keys, "n").agg(*picks).select(*group, "n", *outs)
+    return placed.groupBy(*group, "n").agg(*picks).select(*group, "n", *outs)
 
 
 def hash_key(columns: Sequence[str], seed: int) -> Column:
@@ -145,40 +96,42 @@ def smallest_per_stratum(
     quotas: DataFrame,
     key: Sequence[str],
     seed: int,
+    bucket_rows: int = 10_000,
 ) -> DataFrame:
     """The ``quota`` rows of each stratum with the smallest seeded hash of their key: a sample
     without replacement that any run repeats.
 
     ``quotas`` holds ``(strata, quota)``, one row per stratum to draw from. The hash of the last
-    row to keep is found first: counts per hash prefix tell the prefix it lies in, and only the rows
-    of that prefix are ordered. The wide rows are then filtered by comparing hashes; they are never
+    row to keep is found first: counts per hash prefix tell the prefix it lies in. That prefix is made
+    longer, level by level, until it holds at most ``bucket_rows`` rows; only these are ordered. The wide rows are then filtered by comparing hashes; they are never
     shuffled to one task per stratum. ``key`` must identify a row.
     """
     keys = list(strata)
     if not keys:
         df, quotas, keys = df.withColumn("__one", F.lit(0)), quotas.withColumn("__one", F.lit(0)), ["__one"]
     hashed = df.withColumn("__h", hash_key(key, seed))
-    narrow = hashed.select(*keys, *[F.col(c).alias(f"__k_{c}") for c in key], "__h").withColumn(
-        "__p", F.substring("__h", 1, 3)
-    )
-    by_prefix = Window.partitionBy(*keys).orderBy("__p")  # at most 4096 rows per stratum
-    counted = (
-        narrow.groupBy(*keys, "__p")
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__upto", F.sum("__c").over(by_prefix.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("__total", F.sum("__c").over(Window.partitionBy(*keys)))
-        .join(quotas.select(*keys, "quota"), keys)
-    )
-    cut = counted.filter(
-        (F.col("quota") < F.col("__total"))
-        & (F.col("__upto") >= F.col("quota"))
-        & (F.col("__upto") - F.col("__c") < F.col("quota"))
-        & (F.col("quota") > 0)
-    ).select(*keys, "__p", (F.col("quota") - (F.col("__upto") - F.col("__c"))).alias("__need"))
-    cut = materialize(cut, "cut")
+    narrow = materialize(hashed.select(*keys, *[F.col(c).alias(f"__k_{c}") for c in key], "__h"), "hashes")
+    sizes = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("__held"))
+    cut = quotas.select(*keys, "quota").join(sizes, keys).filter((F.col("quota") > 0) & (F.col("quota") < F.col("__held")))
+    cut = materialize(cut.select(*keys, F.lit("").alias("__p"), F.col("quota").alias("__need"), "__held"), "cut")
+    by_prefix = Window.partitionBy(*keys).orderBy("__next").rowsBetween(Window.unboundedPreceding, 0)
+    for digits in range(_PREFIX_DIGITS, _HASH_DIGITS, _PREFIX_DIGITS):
+        if cut.filter(F.col("__held") > bucket_rows).isEmpty():
+            break
+        counted = (
+            narrow.join(cut.drop("__held"), keys)
+            .filter(F.col("__h").startswith(F.col("__p")))
+            .groupBy(*keys, "__need", F.substring("__h", 1, digits).alias("__next"))
+            .agg(F.count(F.lit(1)).alias("__held"))  # at most 16 ** _PREFIX_DIGITS rows per stratum
+            .withColumn("__earlier", F.sum("__held").over(by_prefix) - F.col("__held"))
+        )
+        need = F.col("__need") - F.col("__earlier")
+        deciding = counted.filter((need > 0) & (need <= F.col("__held")))
+        cut = materialize(deciding.select(*keys, F.col("__next").alias("__p"), need.alias("__need"), "__held"), "cut")
     order = [F.col("__h"), *[F.col(f"__k_{c}") for c in key]]
     last_kept = (
-        narrow.join(cut, [*keys, "__p"])
+        narrow.join(cut, keys)
+        .filter(F.col("__h").startswith(F.col("__p")))
         .withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
         .filter(F.col("__rn") == F.col("__need"))
         .select(*keys, F.struct("__h", *[F.col(f"__k_{c}").alias(c) for c in key]).alias("__last"))

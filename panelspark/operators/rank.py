@@ -15,10 +15,10 @@ from panelspark.operators import ordering
 from panelspark.schema import ALERT_QUANTILE, ALERTS_PER_DAY, DISK_KEY
 
 
-def daily_average_rank(df: DataFrame, score: str = "prob", date: str = "dt", **limits: int) -> DataFrame:
+def daily_average_rank(df: DataFrame, score: str = "prob", date: str = "dt", ranges: int | None = None) -> DataFrame:
     """Add ``rank``: ascending rank of the score within its day, ties sharing their mean."""
     df = df.withColumn(score, _score(score))
-    ranks = ordering.average_rank(df, [date], score, **limits).select(date, score, "rank")
+    ranks = ordering.average_rank(df, [date], score, ranges).select(date, score, "rank")
     return df.join(ranks, [date, score], "left").select(*df.columns, "rank")
 
 

@@ -17,7 +17,7 @@ from panelspark.operators import assoc, metrics, neighbours, ordering, profile,
 from panelspark.plans import features as plan
 from panelspark.registry import sampling as sampling_queries
 
-CUT = {"hot_rows": 20, "ranges": 8}
+CUT = {"ranges": 8}
 
 
 @pytest.fixture(scope="module")
@@ -48,13 +48,30 @@ def test_running_totals_without_group(spark, skewed):
     assert (got.n_before.to_numpy() == got.n.cumsum().shift(fill_value=0).to_numpy()).all()
 
 
-def test_ranges_are_used(spark, skewed):
+def test_hot_group_is_spread_over_ranges(spark, skewed):
     df, _ = skewed
     folded = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    sizes = folded.groupBy("g").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 20")
-    borders = ordering._range_borders(folded, sizes, ["g"], "v", 8)
-    placed = folded.join(borders, "g").withColumn("r", ordering._range_of("v")).groupBy("g").agg(F.countDistinct("r").alias("k"))
-    assert placed.filter("g = 'hot' AND k >= 4").count() == 1
+    ranged = folded.repartitionByRange(8, "g", "v").withColumn("r", F.spark_partition_id())
+    assert ranged.filter("g = 'hot'").select("r").distinct().count() >= 4
+    for group in (["g"], []):
+        plan = ordering.quantiles(df, group, "v", [0.5], **CUT)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "Exchange hashpartitioning(g, v" not in plan
+
+
+def test_quantiles_keep_the_null_group(spark):
+    df = spark.createDataFrame([(None, float(i)) for i in range(101)] + [("a", 1.0), ("a", 2.0)], "g string, v double")
+    got = {r["g"]: (r["n"], r["q0"]) for r in ordering.quantiles(df, ["g"], "v", [0.5], **CUT).collect()}
+    assert got == {None: (101, 50.0), "a": (2, 1.5)}
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 10, 10_000])
+def test_sample_prefix_is_refined(spark, bucket_rows):
+    df = spark.range(5000).select(F.col("id").cast("int").alias("id"), F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("s"))
+    quotas = spark.createDataFrame([("hot", 777), ("cold", 5)], "s string, quota long")
+    got = ordering.smallest_per_stratum(df, ["s"], quotas, ["id"], 4, bucket_rows=bucket_rows).collect()
+    for stratum, n in (("hot", 777), ("cold", 5)):
+        first = df.filter(F.col("s") == stratum).orderBy(ordering.hash_key(["id"], 4), "id").limit(n)
+        assert {r["id"] for r in got if r["s"] == stratum} == {r["id"] for r in first.collect()}
 
 
 def test_quantiles_match_numpy(spark, skewed):
