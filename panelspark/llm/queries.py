@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import exact, mixing, neardup, orderhash, packing, ppm, quality, substring, tokens, urls
+from panelspark.llm import dialogue, exact, mixing, neardup, orderhash, packing, ppm, quality, substring, tokens, urls
 from panelspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ppm_scoring")
 def op4_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"), quality.remainder("doc_id", 7) != 2, order=5)
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.damaged_report(table(spark, sf_dir, "conversations"))
