@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import alignment, dialogue, exact, mixing, neardup, orderhash, packing, ppm, quality, substring, tokens, urls
+from panelspark.llm import alignment, dialogue, exact, leaks, mixing, neardup, orderhash, packing, ppm, quality, substring, tokens, urls
 from panelspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,8 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.aligned_documents(table(spark, sf_dir, "documents"), *paths)
+
+
+@query("op13_secret_scan")
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.report(leaks.find_secrets(table(spark, sf_dir, "documents")))
