@@ -57,18 +57,42 @@ class Scratch:
 def with_row(df: DataFrame, scratch: Scratch, name: str = "__row") -> DataFrame:
     """Add the row's address: the same at each reading, different for repeated rows.
 
-    Rows that come straight from files are addressed by file and position; any other frame is
-    written once with a running number.
+    Rows that come straight from files, by way of filters and projections at most, are addressed by file and
+    position; any other frame (joins, unions and explodes repeat positions) is written once with a running
+    number. ``name`` must be free in ``df``: see :func:`anonymous`.
     """
-    try:
-        path, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-        out = df.select("*", F.struct(F.xxhash64(path).alias("file"), F.hash(path).alias("salt"), at.alias("at")).alias(name))
-        out.schema  # noqa: B018  resolves the plan
-        return out
-    except AnalysisException:
-        number = F.monotonically_increasing_id()
-        row = F.struct(F.lit(0).cast("long").alias("file"), F.lit(0).alias("salt"), number.alias("at"))
-        return scratch.write(df.withColumn(name, row), "rows")
+    if _straight_from_files(df):
+        try:
+            path, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+            out = df.select("*", F.struct(F.xxhash64(path).alias("file"), F.hash(path).alias("salt"), at.alias("at")).alias(name))
+            out.schema  # noqa: B018  resolves the plan
+            return out
+        except AnalysisException:
+            pass  # a source without row positions
+    number = F.monotonically_increasing_id()
+    row = F.struct(F.lit(0).cast("long").alias("file"), F.lit(0).alias("salt"), number.alias("at"))
+    return scratch.write(df.withColumn(name, row), "rows")
+
+
+def _straight_from_files(df: DataFrame) -> bool:
+    """Whether each row of a file gives at most one row."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.children().size() == 1 and node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
+        node = node.children().head()
+    return node.children().isEmpty()
+
+
+def anonymous(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its columns numbered, so that no name of its own meets a working column, and the new name
+    of each; ``toDF(*old)`` gives them back."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def content_hash(columns: list[Column]) -> list[Column]:
+    """Two hashes of the columns' values, nulls told apart from the places of their neighbours."""
+    marked = [x for c in columns for x in (c, c.isNull())]
+    return [F.xxhash64(F.lit(i), *marked) for i in (1, 2)]
 
 
 def texts(column: pa.Array) -> list[str]:
@@ -111,21 +135,47 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(parts)
 
 
+class Memory:
+    """What is known of words, bounded in bytes: once half the room is used, only words that turn up again are
+    carried on."""
+
+    def __init__(self, limit: int):
+        self.known: dict = {}
+        self._older: dict = {}
+        self.half, self.size = limit // 2, 0
+
+    def missing(self, words: set) -> list:
+        """The words of which nothing is known; all others are in ``known`` afterwards."""
+        new = words.difference(self.known)
+        if new and self._older:
+            again = {w: self._older[w] for w in new if w in self._older}
+            self.known.update(again)
+            self.size += 250 * len(again)
+            new.difference_update(again)
+        return list(new)
+
+    def keep(self, words: list, values: list, size: int) -> None:
+        """``size``: bytes that words and values take beside about 150 of each entry."""
+        self.known.update(zip(words, values, strict=True))
+        self.size += 150 * len(words) + size
+
+    def make_room(self) -> None:
+        if self.size > self.half:
+            self._older, self.known, self.size = self.known, {}, 0
+
+
 class WordHashes:
     """64-bit hashes of words (bytes without white space), remembered while there is room."""
 
-    def __init__(self, limit: int = 1 << 20):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
+    def __init__(self, limit: int = 24 << 20):
+        self.memory = Memory(limit)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        new = self.memory.missing(set(words))
+        self.memory.keep(new, list(map(xxhash.xxh3_64_intdigest, new)), sum(map(len, new)))
+        out = np.fromiter(map(self.memory.known.__getitem__, words), np.uint64, len(words))
+        self.memory.make_room()
+        return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

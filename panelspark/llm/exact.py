@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import SPACE, Scratch, text_of, with_row
+from panelspark.llm.common import SPACE, Scratch, anonymous, text_of, with_row
 
 PREFIX_CHARS = 64
 
@@ -28,7 +28,8 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", hash_a
     slim rows, and Spark splits a hot key of it. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    return _find(with_row(docs, scratch), scratch, key, text, hash_all)
+    own = docs.select(F.col(key).alias("c0"), F.col(text).alias("c1"))
+    return _find(with_row(own, scratch), scratch, "c0", "c1", hash_all).withColumnRenamed("c0", key)
 
 
 def _find(addressed: DataFrame, scratch: Scratch, key: str, text: str, hash_all: bool) -> DataFrame:
@@ -50,7 +51,7 @@ def _find(addressed: DataFrame, scratch: Scratch, key: str, text: str, hash_all:
     if not hash_all:
         full = F.when(F.col("__alive"), F.sha2("__full", 256))
         marked = scratch.write(marked.withColumn("__full", full), "hashed")
-    best = F.max(F.struct("__chars", (-F.col("__key")).alias("__k"), (-F.col("__row.at")).alias("__at"), F.col("__row"), "__key"))
+    best = F.min(F.struct((-F.col("__chars")).alias("__less"), F.col("__key").isNull().alias("__none"), "__key", "__row"))
     groups = (
         marked.filter("__alive").groupBy("__length", "__full")
         .agg(F.count(F.lit(1)).alias("__n"), best.alias("__best")).filter("__n > 1")
@@ -70,6 +71,7 @@ def _find(addressed: DataFrame, scratch: Scratch, key: str, text: str, hash_all:
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     scratch = Scratch(docs.sparkSession, "exact")
-    addressed = with_row(docs, scratch)
-    gone = _find(addressed, scratch, key, text, False).filter(~F.col("kept")).select("__row")
-    return addressed.join(gone, "__row", "left_anti").select(*docs.columns)
+    own, names = anonymous(docs)
+    addressed = with_row(own, scratch)
+    gone = _find(addressed, scratch, names[key], names[text], False).filter(~F.col("kept")).select("__row")
+    return addressed.join(gone, "__row", "left_anti").select(*own.columns).toDF(*docs.columns)

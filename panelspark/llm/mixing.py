@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import text_of, with_row, Scratch
+from panelspark.llm.common import Scratch, content_hash, text_of, with_row
 
 #: Exponents tried in one pass while the bracket is narrowed.
 _LADDER = 32
@@ -28,8 +28,12 @@ class Mixture:
 def _sums(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
     """For each exponent a: sum of p^a, and of p^a ln p, over the sources with tokens."""
     p = F.col("__share")
-    terms = [x for a in exponents for x in (F.sum(F.pow(p, F.lit(a))), F.sum(F.pow(p, F.lit(a)) * F.log(p)))]
-    row = sources.agg(*[t.alias(f"s{i}") for i, t in enumerate(terms)]).first()
+
+    def total(term: Column) -> Column:  # decimal, so that the order of the sources has no part in it
+        return F.sum(term.cast("decimal(36, 20)"))
+
+    terms = [x for a in exponents for x in (total(F.pow(p, F.lit(a))), total(F.pow(p, F.lit(a)) * F.log(p)))]
+    row = [float(v) for v in sources.agg(*[t.alias(f"s{i}") for i, t in enumerate(terms)]).first()]
     return list(zip(row[0::2], row[1::2], strict=True))
 
 
@@ -79,9 +83,12 @@ def draw(
     source: str = "source",
     text: str = "text",
 ) -> DataFrame:
-    """One row per draw of a row: ``__row, key, source, n_tokens, weight, repeats, epoch, block,
+    """One row per draw of a row: ``row, key, source, n_tokens, weight, repeats, epoch, block,
     block_order, row_order``.
 
+    ``row`` tells rows by what is in them (two hashes of all columns, and the number among equal rows), so
+    the draw depends on the content of the table alone, not on its files or their order.
+
     Source shares are raised to an exponent that meets ``max_repeats`` or ``entropy`` and normalised;
     each source gets that part of the budget in tokens (words). A source's rows lie in hashed blocks
     of about ``block_tokens``; an epoch is a new permutation of its blocks, and of the rows in a block
@@ -93,16 +100,36 @@ def draw(
     their own. No window or join holds more than the blocks of a source or the rows of one block.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    return _draw(with_row(docs, scratch), scratch, max_repeats, entropy, budget, block_tokens, seed, key, source, text)
+    rows = _rows(docs, key, source, text)
+    out = _draw(rows, scratch, max_repeats, entropy, budget, block_tokens, seed)
+    return out.select(
+        F.col("__row").alias("row"), F.col("__key").alias(key), F.nullif("__source", F.lit("")).alias(source), F.col("__tokens").alias("n_tokens"),
+        F.col("__weight").alias("weight"), F.col("__repeats").alias("repeats"), F.col("__epoch").alias("epoch"),
+        F.col("__block").alias("block"), "block_order", "row_order",
+    )
+
+
+def _same(docs: DataFrame) -> list[Column]:
+    """Hashes of the whole row, the columns in the order of their names."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    names = sorted(docs.columns)
+    return content_hash([F.to_json(F.col(f"`{c}`")) if "map<" in kinds[c] or "variant" in kinds[c] else F.col(f"`{c}`") for c in names])
 
 
-def _draw(addressed, scratch, max_repeats, entropy, budget, block_tokens, seed, key, source, text) -> DataFrame:
+def _rows(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    """``__row, __key, __source, __tokens``: equal rows are folded before they are numbered."""
+    one, two = _same(docs)
+    name = F.coalesce(F.col(source).cast("string"), F.lit(""))
+    slim = docs.select(one.alias("__one"), two.alias("__two"), F.col(key).alias("__key"), name.alias("__source"), word_count(text_of(text)).alias("__tokens"))
+    folded = slim.groupBy("__one", "__two", "__key", "__source", "__tokens").agg(F.count(F.lit(1)).alias("__n"))
+    numbered = folded.withColumn("__at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    return numbered.select(F.struct("__one", "__two", "__at").alias("__row"), "__key", "__source", "__tokens")
+
+
+def _draw(rows, scratch, max_repeats, entropy, budget, block_tokens, seed) -> DataFrame:
     if (max_repeats is None) == (entropy is None):
         raise ValueError("give max_repeats or entropy")
-    name = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    rows = scratch.write(
-        addressed.select("__row", F.col(key).alias("__key"), name.alias("__source"), word_count(text_of(text)).alias("__tokens")), "rows"
-    )
+    rows = scratch.write(rows, "rows")
     per_source = rows.groupBy("__source").agg(F.sum("__tokens").alias("__tokens"))
     total = per_source.agg(F.sum("__tokens")).first()[0] or 0
     sources = per_source.withColumn("__share", F.col("__tokens") / F.lit(float(max(total, 1))))
@@ -146,19 +173,21 @@ def _draw(addressed, scratch, max_repeats, entropy, budget, block_tokens, seed,
     )
     drawn = placed.filter(~border).withColumn("__epochs", F.col("__full") + whole).unionByName(inside)
     drawn = drawn.filter("__epochs > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__epochs") - 1)))
-    return drawn.select(
-        "__row", F.col("__key").alias(key), F.nullif("__source", F.lit("")).alias(source), F.col("__tokens").alias("n_tokens"),
-        F.col("__weight").alias("weight"), F.col("__repeats").alias("repeats"), F.col("__epoch").alias("epoch"),
-        F.col("__block").alias("block"), block_order.alias("block_order"), row_order.alias("row_order"),
-    )
+    return drawn.withColumn("block_order", block_order).withColumn("row_order", row_order)
 
 
 def mix_rows(docs: DataFrame, **target) -> DataFrame:
     """The rows of ``docs``, each as often as it is drawn, with their columns only."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    addressed = with_row(docs, scratch)
-    settings = {"max_repeats": None, "entropy": None, "budget": None, "block_tokens": 4_000_000, "seed": 0,
-                "key": "doc_id", "source": "source", "text": "text", **target}
-    drawn = _draw(addressed, scratch, **settings).groupBy("__row").agg(F.count(F.lit(1)).cast("int").alias("__times"))
+    settings = {"max_repeats": None, "entropy": None, "budget": None, "block_tokens": 4_000_000, "seed": 0, **target}
+    names = [settings.pop(c, c if c != "key" else "doc_id") for c in ("key", "source", "text")]
+    one, two = _same(docs)
+    # Equal rows stand for each other: the first of them is drawn as often as all.
+    hashed = docs.select(one.alias("c0"), two.alias("c1"), *[F.col(f"`{c}`").alias(f"c{i + 2}") for i, c in enumerate(docs.columns)])
+    addressed = with_row(hashed, scratch)
+    first = addressed.groupBy("c0", "c1").agg(F.min("__row").alias("__row"))
+    drawn = _draw(_rows(docs, *names), scratch, **settings).groupBy("__row.__one", "__row.__two").agg(F.count(F.lit(1)).cast("int").alias("__times"))
+    drawn = drawn.join(first, (F.col("__one") == F.col("c0")) & (F.col("__two") == F.col("c1"))).select("__row", "__times")
     copies = F.explode(F.sequence(F.lit(1), F.col("__times")))
-    return addressed.join(drawn, "__row").withColumn("__copy", copies).select(*docs.columns)
+    wide = addressed.drop("c0", "c1").join(drawn, "__row").withColumn("__copy", copies)
+    return wide.select(*[f"c{i + 2}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Scratch, WordHashes, mix64, runs_of, slices, text_of, texts, with_row
+from panelspark.llm.common import Scratch, WordHashes, anonymous, mix64, runs_of, slices, text_of, texts, with_row
 from panelspark.llm.components import connected_components
 
 
@@ -248,7 +248,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     tiled over tasks; their work is quadratic in their different texts, their output is not.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
-    return _near(with_row(docs, scratch), scratch, key, text, settings)
+    own = docs.select(F.col(key).alias("c0"), F.col(text).alias("c1"))
+    return _near(with_row(own, scratch), scratch, "c0", "c1", settings).withColumnRenamed("c0", key)
 
 
 def _near(addressed: DataFrame, scratch: Scratch, key: str, text: str, settings: Settings) -> DataFrame:
@@ -286,6 +287,7 @@ def _near(addressed: DataFrame, scratch: Scratch, key: str, text: str, settings:
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` without those that another row of their class stands for."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    addressed = with_row(docs, scratch)
-    gone = _near(addressed, scratch, key, text, settings).filter(F.col("first") != F.col("__row")).select("__row")
-    return addressed.join(gone, "__row", "left_anti").select(*docs.columns)
+    own, names = anonymous(docs)
+    addressed = with_row(own, scratch)
+    gone = _near(addressed, scratch, names[key], names[text], settings).filter(F.col("first") != F.col("__row")).select("__row")
+    return addressed.join(gone, "__row", "left_anti").select(*own.columns).toDF(*docs.columns)

@@ -147,7 +147,7 @@ def edit_and_compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     scratch = Scratch(docs.sparkSession, "orderhash")
     # Both joins below read the same columns by row, so that one exchange of the texts serves them.
-    rows = with_row(docs, scratch).select("__row", F.col(key).alias("__key"), text_of(text).alias("__text"))
+    rows = with_row(docs.select(F.col(key).alias("__key"), text_of(text).alias("__text")), scratch)
     n = F.length("__text")
     slim = rows.select("__key", "__row", n.alias("__n"))
     links = scratch.write(next_rows(slim, ["__key", "__row"], scratch).join(slim.select("__row", "__n"), "__row"), "links")

@@ -207,9 +207,10 @@ def score(
     if not 2 <= order <= 7:
         raise ValueError("order must be between 2 and 7")
     scratch = Scratch(docs.sparkSession, "ppm")
-    plain = with_row(docs.withColumn("__train", F.coalesce(train, F.lit(False))), scratch).select(
+    own = docs.select(F.col(key).alias("__key"), text_of(text).alias("__text"), F.coalesce(train, F.lit(False)).alias("__train"))
+    plain = with_row(own, scratch).select(
         F.col("__row.file").alias("file"), F.col("__row.salt").alias("salt"), F.floor(F.col("__row.at") / SLICE_ROWS).alias("slice"),
-        F.col("__row.at").alias("at"), F.col(key).alias("__key"), text_of(text).alias("__text"), "__train")
+        F.col("__row.at").alias("at"), "__key", "__text", "__train")
     size = plain.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     shards = max(1, size // 30 // shard_keys + 1)
 

@@ -60,7 +60,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_mixing_sources")
 def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.draw(table(spark, sf_dir, "documents"), max_repeats=2.0).drop("__row")
+    return mixing.draw(table(spark, sf_dir, "documents"), max_repeats=2.0).drop("row")
 
 
 @query("op2_order_minhash")

@@ -177,7 +177,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
     texts with windows of the second kind are carried on to it.
     """
     scratch = Scratch(docs.sparkSession, "substring")
-    plain = with_row(docs, scratch).select("__row", F.col(key).alias("__key"), text_of(text).alias("__text"))
+    plain = with_row(docs.select(F.col(key).alias("__key"), text_of(text).alias("__text")), scratch)
     kind = plain.schema["__key"].dataType.simpleString()
     words = plain.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     shards = max(1, words // 40 // shard_names + 1)  # a name for about 40 bytes of text

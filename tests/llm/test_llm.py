@@ -170,7 +170,7 @@ def test_mixing(awkward, nothing, small):
         own = collections.Counter()
         for r in docs.select("source", "text").collect():
             own[r.source or None] += len((r.text or "").encode().split())
-        rows = collections.Counter(r["__row"] for r in got)
+        rows = collections.Counter(r["row"] for r in got)
         assert len(rows) == docs.count()  # nothing is lost
         for r in got:
             if own[r.source]:
