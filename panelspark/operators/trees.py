@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from itertools import zip_longest
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
@@ -12,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.scalar import focal_weight
+from panelspark.operators.boosting import Boosted, FocalLoss, Params, load_boosted, save_boosted, train_boosted
 from panelspark.schema import EARLY_STOP_ROUNDS, MISSING_CATEGORY, MISSING_CONTINUOUS
 
 
@@ -47,12 +49,19 @@ def train_gbt(
     patience: int = EARLY_STOP_ROUNDS,
     leaves: bool = False,
     seed: int = 42,
+    focal: tuple[float, float] | None = None,
     **params,
-) -> PipelineModel:
+) -> PipelineModel | Boosted:
     """Fit boosted trees. ``split`` names a column whose ``valid`` rows steer early stopping: all rounds
-    are fitted on the other rows, and the trees up to the round that :func:`early_stop_round` finds
-    on the validation losses stay (as a fit of that many rounds: boosting starts alike).
-    ``weight`` is a row weight (see :func:`balance_weight` and :func:`focal_weights`)."""
+    are fitted once on the other rows, and the trees up to the round that :func:`early_stop_round` finds
+    on the validation losses stay (see :func:`prefix`). ``weight`` is a row weight (see :func:`balance_weight`).
+
+    ``focal`` (alpha and gamma) trains on the focal loss itself, by :mod:`boosting`: the model then is a
+    :class:`Boosted`, which the functions of this module and of the scoring plan take too."""
+    if focal is not None:
+        known = {"maxIter": "rounds", "maxDepth": "depth", "stepSize": "rate", "maxBins": "bins", "minInstancesPerNode": "min_rows"}
+        own = Params(**{known.get(k, k): v for k, v in params.items()})
+        return train_boosted(df, continuous, category, label, weight, split, FocalLoss(*focal), patience, params=own)
     if split is not None:
         own = {"label": label, "weight": weight, "leaves": leaves, "seed": seed}
         learn = df.filter(~F.col(split).eqNullSafe("valid"))
@@ -62,9 +71,7 @@ def train_gbt(
             valid = valid.withColumn("__weight", F.col(weight) if isinstance(weight, str) else weight)
         losses = loss_by_round(model, valid)
         best, _ = early_stop_round(losses, patience)
-        if 0 < best < len(losses):
-            model = train_gbt(learn, continuous, category, **own, **{**params, "maxIter": best})
-        return model
+        return prefix(model, best) if 0 < best < len(losses) else model
     gbt = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, **params)
     rows = df
     if weight is not None:
@@ -79,17 +86,31 @@ def trees_of(model: PipelineModel) -> GBTClassificationModel:
     return next(s for s in model.stages if isinstance(s, GBTClassificationModel))
 
 
-def focal_weights(model: PipelineModel, df: DataFrame, label: str = "tag", alpha: float = 0.25, gamma: float = 2.0) -> DataFrame:
-    """Rows with ``weight`` from a first model's probabilities: hard rows count more in the next fit.
+def tree_count(model: PipelineModel | Boosted) -> int:
+    return len(model.trees) if isinstance(model, Boosted) else trees_of(model).getNumTrees
 
-    Stands in for a focal training loss, which the trainer cannot take.
-    """
-    scored = with_probability(model.transform(df), "__p")
-    return scored.select(*df.columns, focal_weight("__p", label, alpha, gamma).alias("weight"))
+
+def prefix(model: PipelineModel | Boosted, rounds: int) -> PipelineModel | Boosted:
+    """The first ``rounds`` trees as a model: boosting is greedy, so it is the fit of that many rounds."""
+    if isinstance(model, Boosted):
+        return model.prefix(rounds)
+    whole = trees_of(model)
+    own = whole._java_obj
+    jvm = SparkContext._active_spark_context._gateway
+    kept = jvm.new_array(jvm.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = jvm.new_array(jvm.jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], weights[i] = own.trees()[i], own.treeWeights()[i]
+    short = jvm.jvm.org.apache.spark.ml.classification.GBTClassificationModel(own.uid(), kept, weights)
+    stage = GBTClassificationModel(short)
+    whole._copyValues(stage)
+    return PipelineModel([stage if s is whole else s for s in model.stages])
 
 
 def loss_by_round(model: PipelineModel, df: DataFrame) -> list[float]:
-    """Loss on ``df`` after each tree."""
+    """Loss on ``df`` after each tree (a :class:`Boosted` knows those of its fit)."""
+    if isinstance(model, Boosted):
+        return model.valid_loss
     rows = df
     for stage in model.stages[:-1]:
         rows = stage.transform(rows)
@@ -109,9 +130,10 @@ def early_stop_round(losses: Sequence[float], patience: int = EARLY_STOP_ROUNDS)
 
 def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     """``(feature, importance)``, highest first. One row per feature."""
-    gain = trees_of(model).featureImportances.toArray()
+    own = isinstance(model, Boosted)
+    gain = [model.importance[f] for f in features] if own else trees_of(model).featureImportances.toArray()
     spark = _session()
-    rows = [(f, float(g)) for f, g in zip(features, gain)]
+    rows = [(f, float(g)) for f, g in zip_longest(features, gain, fillvalue=0.0)]  # a prefix ends at its last used one
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
@@ -175,7 +197,7 @@ def cv_search(
             scored = with_probability(model.transform(fold.filter(F.col("split") == "valid")))
             quality = evaluate_daily(scored, "prob", quantile, per_day).first()
             gains.append(feature_importance(model, [*continuous, *category]))
-            results.append((i, n, str(sorted(params.items())), trees_of(model).getNumTrees, quality["precision"], quality["recall"], quality["f1"]))
+            results.append((i, n, str(sorted(params.items())), tree_count(model), quality["precision"], quality["recall"], quality["f1"]))
     rows = spark.createDataFrame(results, "round int, fold int, params string, trees int, precision double, recall double, f1 double")
     best = rows.groupBy("round", "params").agg(
         F.avg("trees").alias("trees"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1")
@@ -186,6 +208,10 @@ def cv_search(
 # --- leaves ----------------------------------------------------------------------------------
 
 
+def _with_leaves(model: PipelineModel | Boosted, df: DataFrame) -> DataFrame:
+    return model.transform(df, leaves=True) if isinstance(model, Boosted) else model.transform(df)
+
+
 def leaf_columns(df: DataFrame, trees: int) -> DataFrame:
     """The leaf reached in each tree as columns ``leaf_0 …``."""
     leaves = vector_to_array("leaves")
@@ -202,8 +228,8 @@ def leaf_encoder(trees: int) -> Pipeline:
 
 def leaf_one_hot(model: PipelineModel, df: DataFrame) -> tuple[DataFrame, PipelineModel]:
     """Rows with the sparse one-hot vector of their leaves, and the fitted encoder."""
-    trees = trees_of(model).getNumTrees
-    rows = leaf_columns(model.transform(df), trees)
+    trees = tree_count(model)
+    rows = leaf_columns(_with_leaves(model, df), trees)
     encoder = leaf_encoder(trees).fit(rows)
     return encoder.transform(rows), encoder
 
@@ -216,15 +242,20 @@ def leaf_regression(model: PipelineModel, df: DataFrame, label: str = "tag", **p
 
 
 def score_leaf_regression(model: PipelineModel, encoder: PipelineModel, regression, df: DataFrame) -> DataFrame:
-    trees = trees_of(model).getNumTrees
-    rows = encoder.transform(leaf_columns(model.transform(df), trees))
+    rows = encoder.transform(leaf_columns(_with_leaves(model, df), tree_count(model)))
     scored = regression.transform(rows.drop("probability", "rawPrediction", "prediction"))
     return with_probability(scored).select(*df.columns, "prob")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | Boosted, path: str) -> None:
+    if isinstance(model, Boosted):
+        save_boosted(_session(), model, path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | Boosted:
+    """What :func:`save_model` wrote, of either kind."""
+    folder = _session().sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    pipeline = folder.getFileSystem(_session().sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return PipelineModel.load(path) if pipeline else load_boosted(_session(), path)

@@ -43,9 +43,8 @@ def train_gbt(spark, sf):
 
 @query("train_gbt_focal")
 def train_gbt_focal(spark, sf):
-    df, first = fitted(spark, sf)
-    weighted = materialize(trees.focal_weights(first, df.filter("split = 'train'")), "weighted")
-    return _scores(trees.train_gbt(weighted, FEATURES, weight="weight", **SMALL), df.filter("split = 'valid'"))
+    df = split_rows(spark, sf)
+    return _scores(trees.train_gbt(df, FEATURES, split="split", focal=(0.25, 2.0), **SMALL), df.filter("split = 'valid'"))
 
 
 @query("early_stop_round")
