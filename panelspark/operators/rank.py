@@ -77,6 +77,53 @@ def daily_alerts(
     return best_rows.join(top, [date, score]).select(*df.columns, "rank")
 
 
+def summarize_days(df: DataFrame, per_day: int = ALERTS_PER_DAY, score: str = "prob", date: str = "dt", key: Sequence[str] = DISK_KEY) -> DataFrame:
+    """All that a day's alerts depend on, in at most 2 x ``per_day`` + 1 rows a day: ``date, kind, score, ties, key``.
+
+    ``all``: the day's number of rows in ``ties``; ``score``: its ``per_day`` highest distinct scores and how many
+    rows have them; ``row``: its ``per_day`` best rows. Summaries of parts of a day can be merged: a score or a
+    row among the best of a day is among the best of each part that it lies in.
+    """
+    rows = df.select(F.col(date), _score(score).alias(score), F.lit(1).cast("long").alias("ties"), *key)
+    folded = rows.groupBy(date, score).agg(F.sum("ties").alias("ties"))
+    parts = [
+        folded.groupBy(date).agg(F.sum("ties").alias("ties")).withColumn("kind", F.lit("all")),
+        folded.filter(F.col(score).isNotNull()).withColumn("kind", F.lit("score")),
+        rows.filter(F.col(score).isNotNull()).drop("ties").withColumn("kind", F.lit("row")),
+    ]
+    out = parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
+    return _best(out, per_day, score, date, key)
+
+
+def merge_day_summaries(summaries: Sequence[DataFrame], per_day: int = ALERTS_PER_DAY, score: str = "prob", date: str = "dt", key: Sequence[str] = DISK_KEY) -> DataFrame:
+    """The summary of all rows that ``summaries`` (of :func:`summarize_days`) tell of."""
+    every = summaries[0]
+    for s in summaries[1:]:
+        every = every.unionByName(s)
+    counted = every.filter("kind <> 'row'").groupBy(date, "kind", score).agg(F.sum("ties").alias("ties"))
+    return _best(counted.unionByName(every.filter("kind = 'row'"), True), per_day, score, date, key)
+
+
+def _best(summary: DataFrame, per_day: int, score: str, date: str, key: Sequence[str]) -> DataFrame:
+    w = Window.partitionBy(date, "kind").orderBy(F.col(score).desc(), *key)
+    best = summary.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= per_day)
+    return best.select(date, "kind", F.col(score).cast("double").alias(score), "ties", *key)
+
+
+def alerts_of_summary(
+    summary: DataFrame, quantile: float = ALERT_QUANTILE, score: str = "prob", date: str = "dt", key: Sequence[str] = DISK_KEY
+) -> DataFrame:
+    """The rows that :func:`daily_alerts` gives, from summaries alone."""
+    sizes = summary.filter("kind = 'all'").select(date, F.col("ties").alias("__n"))
+    upto = Window.partitionBy(date).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    top = (
+        summary.filter("kind = 'score'").withColumn("__upto", F.sum("ties").over(upto)).join(sizes, date)
+        .withColumn("rank", F.col("__n") - F.col("__upto") + (F.col("ties") + 1) / 2)
+        .filter(F.col("rank") >= F.col("__n") * F.lit(quantile))
+    )
+    return summary.filter("kind = 'row'").select(date, score, *key).join(top.select(date, score, "rank"), [date, score])
+
+
 def first_alert_per_disk(alerts: DataFrame, date: str = "dt", key: Sequence[str] = DISK_KEY) -> DataFrame:
     """Earliest alert of each disk. Later ones vanish here, after they took a place on their day."""
     rest = [c for c in alerts.columns if c not in key and c != date]

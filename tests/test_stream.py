@@ -22,21 +22,77 @@ def _score(df):
     return df.select("serial_number", "model", "dt", (((user * 37 + F.dayofmonth("dt") * 101) % 97) / 97).alias("prob"))
 
 
+def _alerts(df):
+    return {tuple(r) for r in df.collect()}
+
+
 def test_restart_continues_and_nothing_repeats(spark, sf):
     df = registry.panel(spark, sf).select("serial_number", "model", "dt")
     drop, out, state = new_path(spark, "drop"), new_path(spark, "out"), new_path(spark, "state")
     for first, last in (("2024-01-01", "2024-01-10"), ("2024-01-11", "2024-01-30")):
         _drop(df, drop, first, last)
         stream.stream_daily_alerts(spark, drop, df.schema, out, state, _score, 0.8, 2, files_per_batch=2).awaitTermination()
-    got = {tuple(r) for r in stream.read_alerts(spark, out).collect()}
-    want = {tuple(r) for r in rank.submission(rank.daily_alerts(_score(df), quantile=0.8, per_day=2)).collect()}
-    assert got == want and len(got) > 2
-    # The last batch once more, as after a failure: its rows are replaced by equal ones.
-    last = spark.read.parquet(f"{out}_scores").agg(F.max("batch")).first()[0]
-    again = spark.createDataFrame(spark.read.parquet(f"{out}_scores").filter(F.col("batch") == last).drop("batch").toPandas())
-    again = again.withColumn("model", F.col("model").cast("int"))
-    stream._alert_batch(again, last, lambda scored: scored, out, 0.8, 2)
-    assert {tuple(r) for r in stream.read_alerts(spark, out).collect()} == want
+    want = _alerts(rank.submission(rank.daily_alerts(_score(df), quantile=0.8, per_day=2)))
+    assert _alerts(stream.read_alerts(spark, out)) == want and len(want) > 2
+
+
+def _batches(spark, sf, n):
+    scored = _score(registry.panel(spark, sf)).withColumn("part", F.pmod(F.xxhash64("serial_number", "dt"), F.lit(n)))
+    return scored.drop("part"), [scored.filter(F.col("part") == i).drop("part") for i in range(n)]
+
+
+def test_late_rows_and_a_batch_run_again(spark, sf):
+    """Every day comes in every batch; after each one the alerts are those of all rows so far, also if the
+    batch runs twice, and a batch that broke off before its mark does not count."""
+    whole, parts = _batches(spark, sf, 3)
+    out, so_far = new_path(spark, "out"), None
+    for i, part in enumerate(parts):
+        so_far = part if so_far is None else so_far.unionByName(part)
+        want = _alerts(rank.submission(rank.daily_alerts(so_far, quantile=0.8, per_day=3)))
+        for _ in range(2):
+            stream._alert_batch(part, i, lambda rows: rows, out, 0.8, 3)
+            assert _alerts(stream.read_alerts(spark, out)) == want
+    folder = stream._Folder(spark, out)
+    assert all(folder.numbers(f"state/dt={d.dt}") == [1, 2] for d in whole.select("dt").distinct().collect())  # no older versions
+    folder.drop("done/batch=2")
+    before = parts[0].unionByName(parts[1])
+    assert _alerts(stream.read_alerts(spark, out)) == _alerts(rank.submission(rank.daily_alerts(before, quantile=0.8, per_day=3)))
+
+
+def test_a_batch_reads_only_the_days_it_touches(spark, sf):
+    whole, parts = _batches(spark, sf, 2)
+    out = new_path(spark, "out")
+    stream._alert_batch(parts[0], 0, lambda rows: rows, out, 0.8, 3)
+    asked = []
+    plain = stream._state
+    stream._state = lambda spark, out, names: asked.extend(names) or plain(spark, out, names)
+    try:
+        day = parts[1].filter("dt = '2024-01-05'")
+        stream._alert_batch(day, 1, lambda rows: rows, out, 0.8, 3)
+        for i in range(2, 6):
+            stream._alert_batch(day.limit(0), i, lambda rows: rows, out, 0.8, 3)
+    finally:
+        stream._state = plain
+    assert asked == ["dt=2024-01-05/batch=0"]
+    state = spark.read.parquet(f"{out}/state")
+    assert state.groupBy("dt", "batch").count().agg(F.max("count")).first()[0] <= 3 * 3 + 1  # summary and alerts, however many rows
+    so_far = parts[0].unionByName(day)
+    assert _alerts(stream.read_alerts(spark, out)) == _alerts(rank.submission(rank.daily_alerts(so_far, quantile=0.8, per_day=3)))
+
+
+def test_summaries_merge(spark):
+    """Ties, missing scores and repeated rows: merged summaries give the alerts of the whole."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b"]) + str(rng.randint(0, 30)), 1, f"2024-01-0{rng.randint(1, 3)}", rng.choice([None, float("nan"), *[i / 10 for i in range(10)]])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "serial_number string, model int, dt string, prob double").withColumn("dt", F.col("dt").cast("date"))
+    parts = [df.filter(F.pmod(F.hash("serial_number"), F.lit(4)) == i) for i in range(4)]
+    for quantile, per_day in ((0.5, 4), (0.9, 2), (0.0, 100)):
+        merged = rank.merge_day_summaries([rank.summarize_days(p, per_day) for p in parts], per_day)
+        columns = ["dt", "prob", "model", "serial_number", "rank"]
+        got = sorted(map(tuple, rank.alerts_of_summary(merged, quantile).select(*columns).collect()))
+        assert got == sorted(map(tuple, rank.daily_alerts(df, quantile=quantile, per_day=per_day).select(*columns).collect())) and got
 
 
 def test_csv_columns_go_by_name(spark, tmp_path):
