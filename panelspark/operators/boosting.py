@@ -9,11 +9,13 @@ as whole numbers (``_UNIT`` of a row's greatest weight), so a fit does not depen
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from panelspark.schema import EARLY_STOP_ROUNDS, MISSING_CATEGORY, MISSING_CONTINUOUS
 from panelspark.session import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors get the functions with the task
+
 _UNIT = float(1 << 24)
 _TRAIN_LOSS, _VALID_LOSS = -1, -2
 

@@ -1,19 +1,22 @@
 """Exact nearest neighbours and the minority rows made from them.
 
-Points are cut into blocks of bounded size around a few pivots. Each point is first compared with its
-own block; the distance found bounds where closer points can be, and by the triangle inequality only
-blocks within that distance are searched. Copies of a vector are folded first, so that a vector that
-makes up much of the table is compared once. The work per task is one block of points against one
-part of the points that ask for it.
+A tree of median splits cuts the points into blocks of bounded size; every block has a ball (centre and
+radius) that holds all its points. Each point is first compared within its own block, then with the block
+whose ball is closest; the distance found bounds where closer points can be, and by the triangle inequality
+only blocks whose ball reaches within it are searched. Inside a task the same happens again over small
+balls. Copies of a vector are folded first, so that a vector that makes up much of the table is compared
+once. The work per task is one block of points against one part of the points that ask for it.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,12 @@ from panelspark.operators import ordering
 from panelspark.operators.sampling import unit_hash
 from panelspark.session import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors get the functions with the task
+
+#: Points that the driver splits to find the borders of the blocks, and blocks at most (a bigger block is dealt out).
+SAMPLE_POINTS, MOST_BLOCKS = 65_536, 4096
+SMALL_BALL = 16  # points that are compared without a further bound
+
 
 def _fold_copies(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """Distinct vectors, each with its k + 1 smallest keys: no point can need more of them."""
@@ -34,20 +43,107 @@ def _fold_copies(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     )
 
 
-def _distance_function():
-    """Euclidean distances between the rows of two matrices, by differences to keep all digits.
+def _axis(points: np.ndarray) -> np.ndarray:
+    """Direction in which the points spread most, by a few power steps."""
+    centred = points - points.mean(0)
+    axis = centred[np.argmax((centred**2).sum(1))]
+    for _ in range(8):
+        new = centred.T @ (centred @ axis)
+        norm = np.sqrt((new**2).sum())
+        if norm == 0:
+            break
+        axis = new / norm
+    return axis
 
-    Made as a closure, so that executors get it with the task and need not have this package.
-    """
-    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.empty((len(a), len(b)))
-        step = max(1, 4_000_000 // max(1, b.size))
-        for i in range(0, len(a), step):
-            d = a[i : i + step, None, :] - b[None, :, :]
-            out[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
-        return out
 
-    return distances
+def split_tree(points: np.ndarray, leaves: int) -> list[tuple[np.ndarray, float, int, int]]:
+    """Nodes ``(axis, median, left, right)`` that cut the points into about ``leaves`` parts of equal size; a child
+    below 0 is the leaf of that number (-1 the first)."""
+    nodes: list = []
+    count = [0]
+
+    def grow(own: np.ndarray, wanted: int) -> int:
+        if wanted > 1 and len(own) > 1:
+            axis = _axis(own)
+            at = own @ axis
+            median = float(np.median(at))
+            left = at <= median
+            if left.any() and not left.all():
+                i = len(nodes)
+                nodes.append(None)
+                lower = grow(own[left], wanted // 2)
+                nodes[i] = (axis, median, lower, grow(own[~left], wanted - wanted // 2))
+                return i
+        count[0] += 1
+        return -count[0]
+
+    grow(points, leaves)
+    return nodes
+
+
+def leaf_of(nodes: list, points: np.ndarray) -> np.ndarray:
+    """Number of the leaf, from 0, that each point lies in."""
+    at = np.zeros(len(points), np.int64) if nodes else np.full(len(points), -1, np.int64)
+    for i, (axis, median, left, right) in enumerate(nodes):  # a node stands before its children
+        own = at == i
+        if own.any():
+            at[own] = np.where(points[own] @ axis <= median, left, right)
+    return -at - 1
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances between the rows of two matrices, by differences to keep all digits."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, 4_000_000 // max(1, b.size))
+    for i in range(0, len(a), step):
+        d = a[i : i + step, None, :] - b[None, :, :]
+        out[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+    return out
+
+
+def _small_balls(points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Members, centre and radius of small balls that hold all points."""
+    leaf = leaf_of(split_tree(points, max(1, len(points) // SMALL_BALL)), points)
+    out = []
+    for n in np.unique(leaf):
+        own = np.flatnonzero(leaf == n)
+        centre = points[own].mean(0)
+        out.append((own, centre, float(distances(points[own], centre[None])[:, 0].max()) * (1 + 1e-9)))
+    return out
+
+
+def closest(asking: np.ndarray, bound: np.ndarray, points: np.ndarray, weights: np.ndarray, want: int) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """For each row of ``asking`` the points within its bound that can be among the ``want`` nearest, with their
+    distances (ties at the end stay), and the number of distances worked out. A point counts ``weights`` times."""
+    balls = _small_balls(points)
+    centres, radii = np.stack([c for _, c, _ in balls]), np.array([r for _, _, r in balls])
+    to_centre = distances(asking, centres)
+    counted = to_centre.size
+    limit = bound.copy()
+    found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in asking]
+    own = to_centre.argmin(1)
+    visits = [(ball, True) for ball in range(len(balls))] + [(ball, False) for ball in range(len(balls))]
+    for ball, first in visits:  # each row its nearest ball first, which bounds the rest
+        members = balls[ball][0]
+        near = np.flatnonzero(((own == ball) == first) & (to_centre[:, ball] - radii[ball] <= limit * (1 + 1e-9) + 1e-12))
+        if not len(near):
+            continue
+        d = distances(asking[near], points[members])
+        counted += d.size
+        for row, i in zip(d, near.tolist(), strict=True):
+            inside = row <= limit[i]
+            if not inside.any():
+                continue
+            who, far = np.append(found[i][0], members[inside]), np.append(found[i][1], row[inside])
+            order = np.argsort(far, kind="stable")
+            who, far = who[order], far[order]
+            enough = np.searchsorted(np.cumsum(weights[who]), want)
+            if enough < len(far):
+                limit[i] = min(limit[i], far[enough])
+                keep = far <= limit[i]
+                who, far = who[keep], far[keep]
+            found[i] = (who, far)
+    return [f[0] for f in found], [f[1] for f in found], counted
 
 
 def nearest_neighbours(
@@ -56,103 +152,150 @@ def nearest_neighbours(
     vector: str,
     k: int = 5,
     block_rows: int = 2048,
-    pivots: int = 64,
+    most_blocks: int = MOST_BLOCKS,
     seed: int = 42,
+    counter=None,
 ) -> DataFrame:
-    """The k nearest other rows of each row: ``(key, rank, neighbour, distance)``, ties by key."""
-    distances = _distance_function()
+    """The k nearest other rows of each row: ``(key, rank, neighbour, distance)``, ties by key.
+
+    ``counter``: an accumulator that is told how many distances were worked out. Exact for any data; how many
+    distances are saved depends on it: much where vectors lie near a surface of few dimensions or in
+    clumps, nothing where all are about equally far from each other.
+    """
     points = materialize(_fold_copies(df, key, vector, k), "points")
     total = points.count()
-    wanted = max(1, min(pivots, math.ceil(total / block_rows)))
-    # ``wanted`` is capped by a parameter, so is what the driver holds here.
-    drawn = points.orderBy(F.xxhash64(F.col("vid"), F.lit(seed)), "vid").limit(wanted)
-    centers = np.array([r["v"] for r in drawn.select("v").collect()], dtype=float)
-    if not len(centers):
+    wanted = max(1, min(most_blocks, math.ceil(total / block_rows)))
+    drawn = points.orderBy(F.xxhash64(F.col("vid"), F.lit(seed)), "vid").limit(min(SAMPLE_POINTS, 64 * wanted))
+    sample = np.array([r["v"] for r in drawn.select("v").collect()], dtype=float)
+    if not len(sample):
         return df.select(F.col(key), F.lit(1).alias("rank"), F.col(key).alias("neighbour"), F.lit(0.0).alias("distance")).limit(0)
+    nodes = split_tree(sample, wanted)
     key_type = df.schema[key].dataType.simpleString()
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
-                d = distances(np.stack(part["v"].to_numpy()), centers)
-                part = part.assign(cell=d.argmin(axis=1).astype("int32"), reach=d.min(axis=1))
-                yield part[["vid", "v", "ids", "cell", "reach"]]
-
-    cell_schema = f"vid {key_type}, v array<double>, ids array<{key_type}>, cell int, reach double"
-    placed = points.mapInPandas(place, cell_schema)
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"))
-    cells = sizes.collect()  # one row per pivot
-    blocks_of = {r["cell"]: max(1, math.ceil(r["n"] / block_rows)) for r in cells}
-    radius_of = {r["cell"]: r["radius"] for r in cells}
+                yield part.assign(cell=leaf_of(nodes, np.stack(part["v"].to_numpy())).astype("int32"))
+
+    placed = points.mapInPandas(place, f"v array<double>, vid {key_type}, ids array<{key_type}>, cell int")
+    sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per block
+    blocks_of = {c: max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}
     count = F.element_at(F.create_map(*[F.lit(x) for c, n in blocks_of.items() for x in (c, n)]), F.col("cell"))
     blocked = materialize(placed.withColumn("block", F.pmod(F.xxhash64("vid"), count).cast("int")), "blocks")
 
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per block the sum of the task's vectors, of which the centre is made."""
+        kept: dict = {}
+        for part in parts:
+            v = np.stack(part["v"].to_numpy()) if len(part) else None
+            for c in part["cell"].unique():
+                own = v[part["cell"].to_numpy() == c]
+                old = kept.get(c, (0.0, 0))
+                kept[c] = (old[0] + own.sum(0), old[1] + len(own))
+        if kept:
+            yield pd.DataFrame({"cell": list(kept), "total": [s.tolist() for s, _ in kept.values()], "n": [n for _, n in kept.values()]})
+
+    added = blocked.select("cell", "v").mapInPandas(sums, "cell int, total array<double>, n long").toPandas()  # tasks x blocks
+    centre_of = {c: np.sum(list(g["total"].map(np.array)), axis=0) / g["n"].sum() for c, g in added.groupby("cell")}
+    order = np.array(sorted(blocks_of))
+    centres = np.stack([centre_of[c] for c in order])
+
+    def reaches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                own = centres[np.searchsorted(order, part["cell"].to_numpy())]
+                d = np.sqrt(((np.stack(part["v"].to_numpy()) - own) ** 2).sum(1))
+                yield pd.DataFrame({"cell": part["cell"], "reach": d}).groupby("cell", as_index=False).max()
+
+    radius_of = {
+        r["cell"]: r["radius"]
+        for r in blocked.select("cell", "v").mapInPandas(reaches, "cell int, reach double").groupBy("cell").agg(F.max("reach").alias("radius")).collect()
+    }
+    radii = np.array([radius_of[c] for c in order]) * (1 + 1e-9) + 1e-12
+    block_counts = np.array([blocks_of[c] for c in order])
+    found_schema = f"vid {key_type}, found array<struct<distance: double, neighbour: {key_type}>>"
+
     def search(asking: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        """Best k ids of one block for each asking vector (its own copies included, itself not)."""
+        """Best k + 1 ids of one block within the bound of each asking vector (its own copies included)."""
         if not len(asking) or not len(block):
             return pd.DataFrame({"vid": [], "found": []})
-        d = distances(np.stack(asking["v"].to_numpy()), np.stack(block["v"].to_numpy()))
-        keep = min(k + 1, d.shape[1])
-        found = []
+        bound = asking["bound"].to_numpy(dtype=float) if "bound" in asking else np.full(len(asking), np.inf)
         ids = block["ids"].to_numpy()
-        for row in d:
-            cut = np.partition(row, keep - 1)[keep - 1]
-            near = np.flatnonzero(row <= cut)
-            pairs = sorted((row[j], i) for j in near for i in ids[j])[: k + 1]
+        who, far, n = closest(np.stack(asking["v"].to_numpy()), bound, np.stack(block["v"].to_numpy()), np.array([len(i) for i in ids]), k + 1)
+        if counter is not None:
+            counter.add(n)
+        found = []
+        for w, d in zip(who, far, strict=True):
+            pairs = sorted((x, i) for j, x in zip(w, d, strict=True) for i in ids[j])[: k + 1]
             found.append([{"distance": float(x), "neighbour": i} for x, i in pairs])
-        return pd.DataFrame({"vid": asking["vid"].to_numpy(), "found": found})
+        some = np.array([len(f) > 0 for f in found])
+        return pd.DataFrame({"vid": asking["vid"].to_numpy()[some.astype(bool)], "found": pd.Series([f for f in found if f], dtype=object)})
 
-    found_schema = f"vid {key_type}, found array<struct<distance: double, neighbour: {key_type}>>"
-    own = blocked.groupBy("cell", "block").applyInPandas(lambda g: search(g, g), found_schema)
-    bound = F.when(F.size("found") > k, F.element_at("found", -1)["distance"]).otherwise(F.lit(float("inf")))
-    bounds = own.select("vid", "found", bound.alias("bound"))
-    first = materialize(blocked.select("vid", "v", "cell", "block").join(bounds, "vid"), "first")
+    def best_of(found: DataFrame) -> DataFrame:
+        """The k + 1 best of all that was found for a vector."""
+        best = Window.partitionBy("vid").orderBy("distance", "neighbour")
+        ranked = (
+            found.select("vid", F.explode("found").alias("f")).select("vid", "f.distance", "f.neighbour")
+            .withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k + 1)
+        )
+        return ranked.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("found"))
 
-    order = np.array(sorted(blocks_of))
-    chosen = centers[order]
-    radii = np.array([radius_of[c] for c in order])
-    block_counts = np.array([blocks_of[c] for c in order])
+    def bounded(found: DataFrame) -> DataFrame:
+        bound = F.when(F.size("found") > k, F.element_at("found", -1)["distance"]).otherwise(F.lit(float("inf")))
+        return materialize(blocked.select("vid", "v", "cell", "block").join(found.withColumn("bound", bound), "vid"), "bounds")
 
-    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Name the other blocks that may hold something closer than the bound."""
-        for part in parts:
-            if not len(part):
-                continue
-            d = distances(np.stack(part["v"].to_numpy()), chosen)
-            may = d - radii[None, :] <= part["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
-            who, where = np.nonzero(may)
-            times = block_counts[where]
-            row, cell = np.repeat(who, times), np.repeat(order[where], times)
-            block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            own = (part["cell"].to_numpy()[row] == cell) & (part["block"].to_numpy()[row] == block)
-            row, cell, block = row[~own], cell[~own], block[~own]
-            if len(row):
-                yield pd.DataFrame(
-                    {"vid": part["vid"].to_numpy()[row], "v": part["v"].to_numpy()[row], "cell": cell, "block": block}
-                )
-
-    asked = first.select("vid", "v", "cell", "block", "bound").mapInPandas(ask, f"vid {key_type}, v array<double>, cell int, block int")
-    parts = max(1, math.ceil(total / block_rows))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("vid", F.lit(1)), F.lit(parts)).cast("int"))
-    wanted_parts = asked.select("cell", "block", F.col("part").alias("for_part")).distinct()
-    served = (
-        blocked.select("vid", "v", "ids", "cell", "block")
-        .join(wanted_parts, ["cell", "block"])
-        .withColumn("part", F.col("for_part") + 0)
-        .drop("for_part")
-    )
-    by = ["cell", "block", "part"]
-    rest = asked.groupBy(*by).cogroup(served.groupBy(*by)).applyInPandas(search, found_schema)
-    found = first.select("vid", "found").unionByName(rest)
-    # A vector now has k + 1 candidates per block searched; the best k + 1 of all are kept.
-    best = Window.partitionBy("vid").orderBy("distance", "neighbour")
-    ranked = (
-        found.select("vid", F.explode("found").alias("f"))
-        .select("vid", "f.distance", "f.neighbour")
-        .withColumn("rn", F.row_number().over(best))
-        .filter(F.col("rn") <= k + 1)
-    )
-    lists = ranked.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+    def ask(first_only: bool):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Name the blocks that may hold something closer than the bound: the nearest other cell, or the rest."""
+            for part in parts:
+                if not len(part):
+                    continue
+                d = distances(np.stack(part["v"].to_numpy()), centres)
+                mine = np.searchsorted(order, part["cell"].to_numpy())
+                reach = d - radii[None, :]
+                may = reach <= part["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
+                apart = reach.copy()
+                apart[np.arange(len(part)), mine] = np.inf
+                nearest = apart.argmin(1)
+                seen = np.zeros_like(may)
+                seen[np.arange(len(part)), mine] = block_counts[mine] == 1
+                if first_only:
+                    only = np.zeros_like(may)
+                    only[np.arange(len(part)), nearest] = np.isfinite(apart[np.arange(len(part)), nearest])
+                    may &= only
+                else:
+                    seen[np.arange(len(part)), nearest] = np.isfinite(apart[np.arange(len(part)), nearest])
+                who, where = np.nonzero(may & ~seen)
+                times = block_counts[where]
+                row, cell = np.repeat(who, times), np.repeat(order[where], times)
+                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                own = (part["cell"].to_numpy()[row] == cell) & (part["block"].to_numpy()[row] == block)
+                row, cell, block = row[~own], cell[~own], block[~own]
+                if len(row):
+                    yield pd.DataFrame(
+                        {"vid": part["vid"].to_numpy()[row], "v": part["v"].to_numpy()[row], "cell": cell, "block": block, "bound": part["bound"].to_numpy()[row]}
+                    )
+
+        return run
+
+    def answers(known: DataFrame, first_only: bool) -> DataFrame:
+        schema = f"vid {key_type}, v array<double>, cell int, block int, bound double"
+        asked = known.select("vid", "v", "cell", "block", "bound").mapInPandas(ask(first_only), schema)
+        parts = max(1, math.ceil(total / block_rows))
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("vid", F.lit(1)), F.lit(parts)).cast("int"))
+        asked = materialize(asked, "asked")
+        wanted_parts = asked.select("cell", "block", F.col("part").alias("for_part")).distinct()
+        served = blocked.select("vid", "v", "ids", "cell", "block").join(wanted_parts, ["cell", "block"])
+        served = served.withColumn("part", F.col("for_part") + 0).drop("for_part")  # a column of its own for the cogroup
+        by = ["cell", "block", "part"]
+        return asked.groupBy(*by).cogroup(served.groupBy(*by)).applyInPandas(search, found_schema)
+
+    known = bounded(blocked.groupBy("cell", "block").applyInPandas(lambda g: search(g[["vid", "v"]], g), found_schema))
+    if sum(blocks_of.values()) > 1:
+        if len(order) > 1:
+            known = bounded(best_of(known.select("vid", "found").unionByName(answers(known, True))))
+        known = known.select("vid", "found").unionByName(answers(known, False))
+    lists = best_of(known.select("vid", "found")).withColumnRenamed("found", "near")
     vids = points.select("v", "vid")
     rows = df.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v")).join(vids, "v").join(lists, "vid")
     others = F.slice(F.filter("near", lambda n: n["neighbour"] != F.col(key)), 1, k)

@@ -151,14 +151,14 @@ def brute_neighbours(points, k):
     return out
 
 
-@pytest.mark.parametrize("block_rows,pivots", [(2048, 64), (40, 6), (25, 3)])
-def test_neighbours_equal_brute_force(spark, block_rows, pivots):
+@pytest.mark.parametrize("block_rows,most_blocks", [(2048, 64), (40, 6), (25, 3), (10, 4096)])
+def test_neighbours_equal_brute_force(spark, block_rows, most_blocks):
     rng = np.random.default_rng(2)
     points = {i: rng.normal(size=3) + 6 * (i % 3) for i in range(240)}
     for i in range(0, 90):  # a group of copies with more than a third of the rows
         points[i] = np.array([1.0, 1.0, 1.0])
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in points.items()], "id long, v array<double>")
-    got = neighbours.nearest_neighbours(df, "id", "v", 5, block_rows=block_rows, pivots=pivots).toPandas()
+    got = neighbours.nearest_neighbours(df, "id", "v", 5, block_rows=block_rows, most_blocks=most_blocks).toPandas()
     want = brute_neighbours(points, 5)
     assert len(got) == 240 * 5
     for i, g in got.sort_values("rank").groupby("id"):
@@ -166,6 +166,29 @@ def test_neighbours_equal_brute_force(spark, block_rows, pivots):
         assert list(g.distance) == pytest.approx([d for d, _ in want[i]])
 
 
+def test_neighbours_leave_most_distances_out(spark):
+    """Vectors of 16 numbers near a surface of three dimensions: a small part of all distances is worked out."""
+    rng = np.random.default_rng(4)
+    n, counter = 4000, spark.sparkContext.accumulator(0)
+    flat = rng.normal(size=(n, 3))
+    points = flat @ rng.normal(size=(3, 16)) + 0.001 * rng.normal(size=(n, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "id long, v array<double>")
+    got = neighbours.nearest_neighbours(df, "id", "v", 5, block_rows=500, counter=counter).toPandas()
+    d = neighbours.distances(points, points)
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, 1)[:, :5]
+    found = got.sort_values(["id", "rank"]).distance.to_numpy().reshape(n, 5)
+    assert np.allclose(found, want) and 0 < counter.value < n * n / 5
+
+
+def test_blocks_are_balanced():
+    points = np.random.default_rng(5).normal(size=(4000, 8))
+    nodes = neighbours.split_tree(points[:1000], 16)
+    sizes = np.bincount(neighbours.leaf_of(nodes, points))
+    assert len(sizes) == 16 and sizes.min() > 150 and sizes.max() < 350
+    assert neighbours.leaf_of(neighbours.split_tree(np.ones((50, 2)), 8), np.ones((5, 2))).tolist() == [0] * 5
+
+
 def test_neighbours_of_few_points(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [5.0])], "id int, v array<double>")
     got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbours.nearest_neighbours(df, "id", "v", 5).collect()}
