@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,12 +89,10 @@ def rare_to_other(df: DataFrame, column: str, limit: float = 0.005) -> DataFrame
     )
 
 
-def fit_vocabulary(df: DataFrame, columns: Sequence[str], order: Sequence[str], most: int = 10_000) -> dict[str, list[str]]:
-    """Values of each category column in order of first appearance.
-
-    The values become output columns, so more than ``most`` of them is an error, found before any
-    are brought to the driver.
-    """
+def fit_vocabulary(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> dict[str, list[str]]:
+    """Values of each category column in order of first appearance, for the dense forms, where each value
+    becomes an output column. For many values use :func:`fit_codes` and :func:`sparse_one_hot`, which keep them
+    in a table."""
     text = df.select(F.struct(*order).alias("__o"), *[F.col(c).cast("string").alias(c) for c in columns])
     rows = (
         text.unpivot(["__o"], list(columns), "column", "value")
@@ -99,17 +100,65 @@ def fit_vocabulary(df: DataFrame, columns: Sequence[str], order: Sequence[str],
         .groupBy("column", "value")
         .agg(F.min("__o").alias("first"))
         .orderBy("first")
-        .limit(most + 1)
         .collect()
     )
-    if len(rows) > most:
-        raise ValueError(f"more than {most} category values in {list(columns)}; encode them as codes instead")
     out: dict[str, list[str]] = {c: [] for c in columns}
     for r in rows:
         out[r["column"]].append(r["value"])
     return out
 
 
+def fit_codes(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Code table ``column, value, code, size``: values of each column numbered from 0 in order of first appearance,
+    and their number. Of any length; nothing of it comes to the driver."""
+    text = df.select(F.struct(*order).alias("__o"), *[F.col(c).cast("string").alias(c) for c in columns])
+    firsts = (
+        text.unpivot(["__o"], list(columns), "column", "value").filter(F.col("value").isNotNull())
+        .groupBy("column", "value").agg(F.min("__o").alias("__first")).withColumn("__one", F.lit(1).cast("long"))
+    )
+    placed = ordering.running_totals(firsts.withColumn("__at", F.struct("__first", "value")), ["column"], "__at", ["__one"])
+    sizes = firsts.groupBy("column").agg(F.count(F.lit(1)).alias("size"))
+    return placed.join(sizes, "column").select("column", "value", F.col("__one_before").cast("int").alias("code"), F.col("size").cast("int").alias("size"))
+
+
+def add_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], suffix: str = "_code") -> DataFrame:
+    """Add ``<column><suffix>``: the value's code; NULL and values that were not fitted get -1. Spark sees the
+    size of the code table and joins accordingly."""
+    out = df
+    for c in columns:
+        own = codes.filter(F.col("column") == c).select(F.col("value").alias("__value"), F.col("code").alias("__code"))
+        joined = out.join(own, F.col(c).cast("string") == F.col("__value"), "left")
+        out = joined.withColumn(f"{c}{suffix}", F.coalesce("__code", F.lit(-1))).drop("__value", "__code")
+    return out
+
+
+def sparse_one_hot(df: DataFrame, codes: DataFrame, columns: Sequence[str], name: str = "one_hot") -> DataFrame:
+    """Add ``name``: one sparse vector with a place for each value of each column; a column that is NULL or has
+    a value that was not fitted adds nothing. Only the number of values per column is known to the driver."""
+    sizes = {r["column"]: r["size"] for r in codes.select("column", "size").distinct().collect()}
+    used = [c for c in columns if sizes.get(c)]
+    coded = add_codes(df, codes, used, "__c")
+    # One place more per column takes the values without a code; it is the encoder's last category, which it drops.
+    places = {c: F.when(F.col(f"{c}__c") < 0, F.lit(sizes[c])).otherwise(F.col(f"{c}__c")).cast("double") for c in used}
+    kinds = {c: NominalAttributes(sizes[c] + 1) for c in used}
+    coded = coded.select("*", *[p.alias(f"{c}__p", metadata=kinds[c].metadata(f"{c}__p")) for c, p in places.items()])
+    hot = OneHotEncoder(inputCols=[f"{c}__p" for c in used], outputCols=[f"{c}__h" for c in used], dropLast=True)
+    whole = VectorAssembler(inputCols=[f"{c}__h" for c in used], outputCol=name)
+    if not used:
+        return df.withColumn(name, F.lit(None).cast(VectorUDT()))
+    return Pipeline(stages=[hot, whole]).fit(coded).transform(coded).select(*df.columns, name)
+
+
+@dataclass(frozen=True)
+class NominalAttributes:
+    """How many values a column of codes can take, as column metadata, so that no fit has to look."""
+
+    values: int
+
+    def metadata(self, name: str) -> dict:
+        return {"ml_attr": {"type": "nominal", "name": name, "num_vals": self.values}}
+
+
 def one_hot_columns(df: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
     """Replace each column by one 0/1 column per value of its fitted vocabulary."""
     keep = [F.col(c) for c in df.columns if c not in vocabulary]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import clean, combine, encode
 from panelspark.operators.sampling import confirmed_faults, split_by_label
+from panelspark.session import new_path
 
 Span = tuple[str, str]
 
@@ -57,6 +58,14 @@ def time_series_folds(df: DataFrame, train: Sequence[Span], valid: Sequence[Span
     return df.withColumn("__f", F.explode(hits)).select(*df.columns, "__f.fold", "__f.split")
 
 
+def store_folds(folds: DataFrame) -> DataFrame:
+    """The rows of :func:`time_series_folds` written by ``fold`` and ``split``, so that a filter on them reads
+    the files of that fold alone."""
+    path = new_path(folds.sparkSession, "folds")
+    folds.write.partitionBy("fold", "split").parquet(path)
+    return folds.sparkSession.read.schema(folds.schema).parquet(path)
+
+
 def scale_train_valid(df: DataFrame, columns: Sequence[str], log: bool = False, standard: bool = True) -> DataFrame:
     """Scale a table with a ``split`` column, with statistics of its training rows."""
     if log:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from itertools import zip_longest
 
-from pyspark import SparkContext
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators.boosting import Boosted, FocalLoss, Params, load_boosted, save_boosted, train_boosted
@@ -150,8 +152,6 @@ def select_topk_features(importance: DataFrame, k: int) -> list[str]:
 
 
 def _session():
-    from pyspark.sql import SparkSession
-
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
@@ -168,6 +168,29 @@ def random_params(space: Mapping[str, object], fixed: Mapping[str, object], roun
     return rows
 
 
+def halving_plan(draws: int, rounds: int, halving: int | None) -> list[tuple[int, int]]:
+    """``(draws, rounds)`` of each rung: with ``halving`` h, each rung keeps one draw in h of the rung before and
+    grows h times the trees, up to ``rounds``. Without it one rung has all draws in full."""
+    if not halving or halving < 2 or draws <= 1:
+        return [(draws, rounds)]
+    kept = [draws]
+    while kept[-1] > 1 and rounds // halving ** len(kept) >= 1:
+        kept.append(-(-kept[-1] // halving))
+    return [(n, max(1, rounds // halving ** (len(kept) - 1 - i))) for i, n in enumerate(kept)]
+
+
+def _side_by_side(spark: SparkSession, jobs: Sequence, parallel: int) -> list:
+    """Results of the calls in their order; each job has a pool of its own, so that under a fair scheduler a long
+    fit does not hold up the others."""
+
+    def run(n: int):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{n % parallel}")
+        return jobs[n]()
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(run), range(len(jobs))))
+
+
 def cv_search(
     folds: DataFrame,
     continuous: Sequence[str],
@@ -179,30 +202,46 @@ def cv_search(
     per_day: int,
     seed: int = 42,
     label: str = "tag",
+    halving: int | None = None,
+    parallel: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """Random search over rows with ``fold`` and ``split``: results by mean alert F1, and importance
     averaged over all fits. One fold makes it a plain hold-out search.
 
-    ``folds`` is read once per fit, so hand in a written table.
+    ``rounds`` parameter rows are drawn. ``parallel`` fits run at a time. With ``halving`` weak rows
+    stop early (see :func:`halving_plan`); ``rung`` tells how far a row came, and only rows of the last rung
+    have grown all their trees. A drawn or fixed ``focal`` trains on the focal loss.
+
+    Each fit reads the rows of its fold alone if the table is stored by fold (:func:`split.store_folds`).
     """
     from panelspark.plans.scoring import evaluate_daily
 
     spark = folds.sparkSession
     numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    results, gains = [], []
-    for i, params in enumerate(random_params(space, fixed, rounds, seed)):
-        for n in numbers:
-            fold = folds.filter(F.col("fold") == n)
-            model = train_gbt(fold, continuous, category, label, split="split", seed=seed, **params)
-            scored = with_probability(model.transform(fold.filter(F.col("split") == "valid")))
-            quality = evaluate_daily(scored, "prob", quantile, per_day).first()
-            gains.append(feature_importance(model, [*continuous, *category]))
-            results.append((i, n, str(sorted(params.items())), tree_count(model), quality["precision"], quality["recall"], quality["f1"]))
-    rows = spark.createDataFrame(results, "round int, fold int, params string, trees int, precision double, recall double, f1 double")
-    best = rows.groupBy("round", "params").agg(
-        F.avg("trees").alias("trees"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1")
-    )
-    return best.orderBy(F.desc("f1"), "round"), mean_importance(gains)
+    drawn = dict(enumerate(random_params(space, fixed, rounds, seed)))
+    gains: list[DataFrame] = []
+    results: dict[int, tuple] = {}
+
+    def fit(params: dict, n: int, share: float):
+        own = {**params, "maxIter": max(1, round(params.get("maxIter", 20) * share))}
+        fold = folds.filter(F.col("fold") == n)
+        model = train_gbt(fold, continuous, category, label, split="split", seed=seed, **own)
+        scored = with_probability(model.transform(fold.filter(F.col("split") == "valid")))
+        quality = evaluate_daily(scored, "prob", quantile, per_day).first()
+        gains.append(feature_importance(model, [*continuous, *category]))
+        return tree_count(model), quality["precision"], quality["recall"], quality["f1"]
+
+    alive, most = list(drawn), max([p.get("maxIter", 20) for p in drawn.values()], default=1)
+    for rung, (kept, trees) in enumerate(halving_plan(rounds, most, halving)):
+        alive = sorted(alive, key=lambda i: (-results[i][-1] if i in results else 0, i))[:kept]
+        jobs = [(i, n) for i in alive for n in numbers]
+        told = _side_by_side(spark, [partial(fit, drawn[i], n, trees / most) for i, n in jobs], parallel)
+        for i in alive:
+            own = [t for (j, _), t in zip(jobs, told, strict=True) if j == i]
+            means = [sum(v or 0.0 for v in column) / len(own) for column in zip(*own, strict=True)]
+            results[i] = (i, rung, str(sorted(drawn[i].items())), *map(float, means))
+    table = spark.createDataFrame(list(results.values()), "round int, rung int, params string, trees double, precision double, recall double, f1 double")
+    return table.orderBy(F.desc("rung"), F.desc("f1"), "round"), mean_importance(gains)
 
 
 # --- leaves ----------------------------------------------------------------------------------

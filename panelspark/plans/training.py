@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators import neighbours, sampling, split, trees
+from panelspark.operators.boosting import Boosted
 from panelspark.plans.scoring import evaluate_daily
 from panelspark.schema import ALERT_QUANTILE, ALERTS_PER_DAY, column_roles
 from panelspark.session import materialize
@@ -32,12 +33,19 @@ def train(
     quantile: float = ALERT_QUANTILE,
     per_day: int = ALERTS_PER_DAY,
     seed: int = 42,
+    focal: tuple[float, float] | None = None,
+    space: Mapping[str, object] | None = None,
+    draws: int = 10,
+    halving: int | None = 3,
+    top_features: int | None = None,
     **params,
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[PipelineModel | Boosted, DataFrame]:
     """Fitted model and its quality on the validation span.
 
     ``log`` names columns to put on a logarithmic scale, ``balance`` weighs both classes alike and
-    ``upsample`` adds synthetic faulty rows instead.
+    ``upsample`` adds synthetic faulty rows instead. ``focal`` trains on the focal loss. ``space`` is
+    searched first, by ``draws`` parameter rows (see :func:`trees.cv_search`), and the best row taken;
+    ``top_features`` then fits once more on so many features of greatest importance.
     """
     sampled = sampling.sampling_plan(
         features.drop(*drop), train_span, amount, method, valid_span, valid_amount, gap, prior_before, seed
@@ -56,6 +64,17 @@ def train(
         made = neighbours.smote_balance(keyed, "__key", roles.continuous, roles.category, seed=seed)
         both = made.drop("synthetic").withColumn("split", F.lit("train"))
         rows = materialize(both.unionByName(rows.filter("split = 'valid'")), "upsampled")
-    model = trees.train_gbt(rows, roles.continuous, roles.category, weight=weight, split="split", seed=seed, **params)
+    if focal is not None:
+        params = {**params, "focal": focal}
+    if space is not None:
+        keyed = parts.select("serial_number", "model", "dt", "flag", "tag", "split", *roles.features).withColumn("fold", F.lit(0))
+        found, _ = trees.cv_search(split.store_folds(keyed), roles.continuous, roles.category, space, params, draws, quantile, per_day, seed, halving=halving)
+        params = trees.random_params(space, params, draws, seed)[found.first()["round"]]
+    continuous, category = roles.continuous, roles.category
+    for last in ([False, True] if top_features is not None else [True]):
+        model = trees.train_gbt(rows, continuous, category, weight=weight, split="split", seed=seed, **params)
+        if not last:
+            best = set(trees.select_topk_features(trees.feature_importance(model, [*continuous, *category]), top_features))
+            continuous, category = ([c for c in own if c in best] for own in (continuous, category))
     scored = trees.with_probability(model.transform(parts.filter("split = 'valid'")))
     return model, evaluate_daily(scored, "prob", quantile, per_day)

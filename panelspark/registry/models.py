@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import cluster, neighbours, split, trees
-from panelspark.plans import scoring, training
-from panelspark.registry import labelled, query, rounded, table
+from panelspark.operators.encode import log_scale
+from panelspark.plans import bundle, scoring, training
+from panelspark.plans.features import training_features
+from panelspark.registry import labelled, panel, query, rounded, table
 from panelspark.registry.evaluation import FOLD_TRAIN, FOLD_VALID, GAP, TRAIN, VALID
+from panelspark.schema import column_roles
 from panelspark.session import materialize, new_path
 
 INDEX = ["serial_number", "model", "dt"]
@@ -74,15 +77,15 @@ SPACE = {"maxDepth": [2, 3], "stepSize": (0.05, 0.3)}
 
 @query("random_search")
 def random_search(spark, sf):
-    df = split_rows(spark, sf).withColumn("fold", F.lit(0))
-    best, _ = trees.cv_search(df, FEATURES, [], SPACE, {"maxIter": 3}, 2, 0.9, 10)
+    df = split.store_folds(split.gap_time_split(rows(spark, sf), TRAIN, VALID, GAP).withColumn("fold", F.lit(0)))
+    best, _ = trees.cv_search(df, FEATURES, [], SPACE, {"maxIter": 9}, 10, 0.9, 10, halving=3)
     return best
 
 
 @query("cv_search")
 def cv_search(spark, sf):
-    folds = materialize(split.time_series_folds(rows(spark, sf), FOLD_TRAIN, FOLD_VALID), "folds")
-    best, _ = trees.cv_search(folds, FEATURES, [], SPACE, {"maxIter": 3}, 1, 0.9, 10)
+    folds = split.store_folds(split.time_series_folds(rows(spark, sf), FOLD_TRAIN, FOLD_VALID))
+    best, _ = trees.cv_search(folds, FEATURES, [], SPACE, {"maxIter": 9}, 10, 0.9, 10, halving=3)
     return best
 
 
@@ -111,6 +114,23 @@ def save_model(spark, sf):
     return _scores(trees.load_model(path), df.filter("split = 'valid'"))
 
 
+@query("saved_fit", "SELECT CAST(0 AS BIGINT) AS differing, true AS alerts")
+def saved_fit(spark, sf):
+    """Alerts of a fit that was saved with its sensors, bins and scales and loaded again: how many differ."""
+    features, known = training_features(labelled(spark, sf), window=7)
+    features = materialize(features, "features")
+    roles = column_roles(features)
+    log = [c for c in ("smart_4raw", "smart_5raw") if c in roles.continuous]
+    model = trees.train_gbt(log_scale(features, log), roles.continuous, roles.category, **SMALL)
+    fit = bundle.Fit(known, model, roles.continuous, roles.category, log)
+    path = new_path(spark, "fit")
+    fit.save(spark, path)
+    span = {"start": "2024-01-20", "end": "2024-01-30", "quantile": 0.9, "per_day": 10}
+    before, after = (materialize(f.predict(panel(spark, sf), **span), "alerts") for f in (fit, bundle.Fit.load(spark, path)))
+    differing = before.exceptAll(after).unionByName(after.exceptAll(before))
+    return differing.agg(F.count(F.lit(1)).alias("differing")).withColumn("alerts", F.lit(not after.isEmpty()))
+
+
 @query("predict")
 def predict(spark, sf):
     """A fitted model's alerts in the layout of the result file."""

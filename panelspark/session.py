@@ -36,6 +36,8 @@ def cluster_settings(input_bytes: int, partition_bytes: int = 192 << 20) -> dict
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        # Fits of a search run side by side, each in a pool of its own.
+        "spark.scheduler.mode": "FAIR",
     }
 
 

@@ -210,11 +210,26 @@ def test_numerical_encoding_single_label(spark):
     assert encode.numerical_encoding(df, ["i"], nominal=None).columns == df.columns
 
 
-def test_too_many_categories_are_refused(spark):
-    df = spark.range(50).select("id", F.col("id").cast("string").alias("k"))
-    with pytest.raises(ValueError, match="more than 20"):
-        encode.fit_vocabulary(df, ["k"], ["id"], most=20)
-    assert len(encode.fit_vocabulary(df, ["k"], ["id"], most=50)["k"]) == 50
+def test_any_number_of_categories(spark):
+    df = spark.range(50_000).select("id", F.concat(F.lit("k"), F.col("id") * 7919 % 50_000).alias("k"), (F.col("id") % 3).alias("m"))
+    codes = encode.fit_codes(df, ["k", "m"], ["id"])
+    coded = encode.add_codes(df, codes, ["k", "m"])
+    assert coded.filter((F.col("k_code") != F.col("id")) | (F.col("m_code") != F.col("id") % 3)).count() == 0
+    hot = encode.sparse_one_hot(df.filter("id % 1000 = 7"), codes, ["k", "m"])
+    for r in hot.collect():
+        assert (r.one_hot.size, sorted(r.one_hot.indices.tolist())) == (50_003, [r.id, 50_000 + r.id % 3])
+    assert len(encode.fit_vocabulary(df, ["k"], ["id"])["k"]) == 50_000
+
+
+def test_sparse_one_hot_is_the_dense_one(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, "b", "y"), (4, None, "x"), (5, "c", "x")], "i int, k string, s string")
+    known = df.filter("i <= 3")
+    codes = encode.fit_codes(known, ["k", "s"], ["i"])
+    assert {(r.column, r.value, r.code) for r in codes.collect()} == {("k", "b", 0), ("k", "a", 1), ("s", "x", 0), ("s", "y", 1)}
+    got = {r.i: r.one_hot.toArray().tolist() for r in encode.sparse_one_hot(df, codes, ["k", "s"]).collect()}
+    assert got == {1: [1, 0, 1, 0], 2: [0, 1, 0, 0], 3: [1, 0, 0, 1], 4: [0, 0, 1, 0], 5: [0, 0, 1, 0]}
+    none = encode.fit_codes(known.limit(0), ["k"], ["i"])
+    assert encode.sparse_one_hot(df, none, ["k"]).filter("one_hot IS NULL").count() == 5
 
 
 def test_settings_grow_with_the_data():
