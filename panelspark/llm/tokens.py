@@ -12,14 +12,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import slices, text_of, texts
+from panelspark.llm.common import Memory, slices, text_of, texts
 
 #: Fixed value: the split pattern of byte-level vocabularies, as published with them.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on whose classes all regular expression libraries agree; other texts are split by the tokenizer itself.
 PLAIN = regex.compile(r"[\x09\x0A\x0D\x20-\x7E\xA1-ɏ]*")
 _SPLIT = regex.compile(SPLIT)
-_CACHE_LIMIT = 1 << 20  # remembered pre-tokens of a worker; beyond that it starts anew
+WORD_BYTES = 40 << 20  # of remembered pre-tokens in a worker
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -119,7 +119,7 @@ class Counter:
         specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.library = Tokenizer.from_file(path).pre_tokenizer
-        self.known: dict[bytes, int] = {}
+        self.memory = Memory(WORD_BYTES)
 
     def _pretokens(self, text: str) -> list[bytes]:
         if PLAIN.fullmatch(text):
@@ -133,14 +133,14 @@ class Counter:
             pieces = self.specials.split(value) if self.specials else [value]
             specials.append(len(pieces) - 1)
             parts.append([p for piece in pieces if piece for p in self._pretokens(piece)])
-        if len(self.known) > _CACHE_LIMIT:
-            self.known.clear()
-        new = [p for p in {p for part in parts for p in part} if p not in self.known]
+        new = self.memory.missing(set().union(*parts))
         if new:
             lengths = np.array([len(p) for p in new])
             counts = merge_counts(self.first[np.frombuffer(b"".join(new), np.uint8)], lengths, self.table)
-            self.known.update(zip(new, counts.tolist(), strict=True))
-        return [s + sum(map(self.known.__getitem__, part)) for s, part in zip(specials, parts, strict=True)]
+            self.memory.keep(new, counts.tolist(), int(lengths.sum()))
+        out = [s + sum(map(self.memory.known.__getitem__, part)) for s, part in zip(specials, parts, strict=True)]
+        self.memory.make_room()
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -148,26 +148,34 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def add_token_counts(docs: DataFrame, path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
+def add_token_counts(docs: DataFrame, path: str, text: str = "text", name: str = "n_tokens", keep_text: bool = True) -> DataFrame:
     """Add ``name``: tokens of the whole text (null: 0), no tokens added, none cut off.
 
     ``path`` is a byte-level ``tokenizers`` file that every executor has. No shuffle; texts pass
-    through in pieces of a few MB. An existing column ``name`` is replaced.
+    through in pieces of a few MB. An existing column ``name`` is replaced; without ``keep_text`` the text
+    does not come back.
     """
-    kept = [c for c in docs.columns if c != name]
+    kept = [c for c in docs.columns if c != name and (keep_text or c != text)]
+    own, given = [f"c{i}" for i in range(len(kept))], len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)
         for batch in batches:
-            for part in slices(batch, "__text", 4 << 20):
-                n = pa.array(counts.count(texts(part.column("__text"))), pa.int64())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], n], [*kept, name])
+            for part in slices(batch, "read", 4 << 20):
+                n = pa.array(counts.count(texts(part.column("read"))), pa.int64())
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in own[:given]], n], [*own[:given], "counted"])
 
-    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept], f"`{name}` bigint"])
-    return docs.select(*kept, text_of(text).alias("__text")).mapInArrow(run, schema)
+    read = "read" if text not in kept or docs.schema[text].dataType.simpleString() != "string" else own[kept.index(text)]
+    sent = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(kept, own, strict=True)], *([text_of(text).alias("read")] if read == "read" else []))
+    if read != "read":  # the text is among the columns
+        sent = sent.withColumnRenamed(read, "read")
+        own[kept.index(text)] = "read"
+    schema = ", ".join([*[f"{o} {docs.schema[c].dataType.simpleString()}" for c, o in zip(kept, own, strict=True)], "counted bigint"])
+    return sent.mapInArrow(run, schema).toDF(*kept, name)
 
 
 def token_report(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_bytes, n_tokens, over_limit`` of every row."""
-    slim = docs.select(key, F.octet_length(text_of(text)).cast("long").alias("n_bytes"), text_of(text).alias("__raw"))
-    return add_token_counts(slim, path, "__raw").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    slim = docs.select(F.col(key).alias("key"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"), text_of(text).alias("raw"))
+    counted = add_token_counts(slim, path, "raw", keep_text=False)
+    return counted.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
