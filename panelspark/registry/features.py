@@ -10,7 +10,7 @@ from panelspark.registry import dense, fault_log, labelled, panel, powered, quer
 from panelspark.plans import features as plan
 from panelspark.schema import POWER_ON_HOURS
 
-SLIDING = ["smart_1_normalized", "smart_5raw", "smart_195_normalized"]
+SLIDING = [c for c in S.SENSORS if c not in S.NON_SLIDING_SENSORS]
 FRAME = "OVER (PARTITION BY model, serial_number ORDER BY day ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
 W7 = FRAME.format(n=6)
 
@@ -137,7 +137,7 @@ def rolling_multi_window(spark, sf):
     return rounded(calendar.observed_days(df.select("serial_number", "model", "dt", "observed", *cols)))
 
 
-SHAPE = ["smart_1_normalized", "smart_4raw"]
+SHAPE = SLIDING
 
 
 def _shape_sql(kind: str) -> str:

@@ -10,7 +10,7 @@ from panelspark import schema
 from panelspark.operators import assoc, profile
 from panelspark.registry import fault_log, labelled, panel, query, rounded, table
 
-COLS = ["smart_1_normalized", "smart_4raw", "smart_195_normalized"]
+COLS = schema.SENSORS
 
 
 def _faulty(spark, sf):
@@ -130,7 +130,7 @@ def _density_sql(transform: str) -> str:
     return f"""WITH v AS (SELECT "column", {transform} AS value, dt < DATE '2024-01-16' AS early FROM ({long_sql(COLS, "panel", "dt")})),
        k AS (SELECT * FROM v WHERE value IS NOT NULL),
        b AS (SELECT "column", min(value) AS lo, max(value) AS hi, count(*) FILTER (WHERE early) AS na, count(*) FILTER (WHERE NOT early) AS nb FROM k GROUP BY 1)
-       SELECT "column", CAST(least(floor((value - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin,
+       SELECT "column", CAST(CASE WHEN hi > lo THEN least(floor((value - lo) / ((hi - lo) / 50)), 49) ELSE 0 END AS INT) AS bin,
        round(count(*) FILTER (WHERE early) / any_value(na), 6) AS first_share, round(count(*) FILTER (WHERE NOT early) / any_value(nb), 6) AS second_share
        FROM k JOIN b USING ("column") GROUP BY 1, 2"""
 
@@ -279,7 +279,7 @@ def correlation_ratio(spark, sf):
     return rounded(assoc.correlation_ratio(labelled(spark, sf), "tag", ETA_COLS))
 
 
-P_COLS = ["smart_1_normalized", "smart_3_normalized", "smart_7_normalized", "smart_4raw", "smart_5raw", "smart_9raw"]
+P_COLS = schema.SENSORS
 
 
 def _pearson_sql(source: str, columns) -> str:
@@ -325,7 +325,7 @@ def associations_theils_u(spark, sf):
     return rounded(assoc.associations(table(spark, sf, "lineitem").select(*A_NUM, *A_NOM), theil_u=True))
 
 
-KS_COLS = ["smart_1_normalized", "smart_4raw", "smart_195_normalized", "smart_9raw"]
+KS_COLS = schema.SENSORS
 
 
 @query(

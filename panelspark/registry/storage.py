@@ -94,6 +94,24 @@ def write_panel(spark, sf):
     return spark.read.parquet(path)
 
 
+@query(
+    "store_panel",
+    """SELECT serial_number, model, dt, smart_1_normalized, CASE WHEN dt >= DATE '2024-01-16' THEN smart_4raw END AS smart_4raw,
+       CASE WHEN dt < DATE '2024-01-16' THEN smart_195_normalized END AS smart_195_normalized,
+       CAST(strftime(dt, '%Y%m%d') AS INT) AS period FROM panel""",
+    ("panel",),
+)
+def store_panel(spark, sf):
+    """The first half lacks one sensor, the second another; the first is written twice."""
+    path = new_path(spark, "store")
+    df = panel(spark, sf).select(*INDEX, "smart_1_normalized", "smart_4raw", "smart_195_normalized")
+    early = F.col("dt") < F.lit("2024-01-16").cast("date")
+    writers.store_panel(df.filter(early).drop("smart_4raw"), path, "yyyyMMdd")
+    writers.store_panel(df.filter(~early).drop("smart_195_normalized"), path, "yyyyMMdd")
+    writers.store_panel(df.filter(early).drop("smart_4raw"), path, "yyyyMMdd")
+    return writers.read_store(spark, path)
+
+
 @query(
     "write_test_panel",
     """SELECT serial_number, CAST(model AS TINYINT) AS model, dt, CAST(smart_1_normalized AS FLOAT) AS smart_1_normalized,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.operators import clean, rolling
 from panelspark.schema import columns_with_token
@@ -17,6 +20,36 @@ def write_panel(df: DataFrame, path: str, mode: str = "append") -> None:
     out.write.mode(mode).partitionBy("month").parquet(path)
 
 
+def store_panel(df: DataFrame, path: str, period: str = "yyyyMM") -> None:
+    """Put whole periods (months, or days with ``yyyyMMdd``) of a panel in place: those in ``df`` are replaced,
+    others stay, so that a period may be written again. Periods may differ in their columns; the store's
+    columns are kept beside it, and a column that changes its type is an error. One writer at a time."""
+    spark = df.sparkSession
+    known = stored_columns(spark, path)
+    fields = {f.name: f.dataType for f in known or []}
+    for f in df.schema:
+        if fields.setdefault(f.name, f.dataType) != f.dataType:
+            raise TypeError(f"{f.name} is stored as {fields[f.name].simpleString()}, not as {f.dataType.simpleString()}")
+    every = T.StructType([T.StructField(n, t) for n, t in fields.items()])
+    if known is None or [f.name for f in known] != every.names:
+        spark.createDataFrame([(every.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_columns")
+    out = df.withColumn("period", F.date_format("dt", period).cast("int")).hint("rebalance", "period")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+
+
+def stored_columns(spark: SparkSession, path: str) -> T.StructType | None:
+    """Columns that any period of the store has; None where there is no store yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_columns")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_columns", wholetext=True).first()["value"]))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """All periods of a store, with NULL where a period lacks a column. No file is opened for its schema."""
+    return spark.read.schema(stored_columns(spark, path).add("period", T.IntegerType())).parquet(path)
+
+
 def write_test_panel(df: DataFrame, path: str) -> None:
     """Drop columns with too many NULLs, narrow the types, store."""
     kept = df.drop(*clean.fit_null_prune(df))

@@ -134,3 +134,13 @@ def test_partitioned_days_are_pruned(spark, sf):
     df = readers.scan_day_partitions(spark, path, "2024-01-03", "2024-01-04")
     assert "PartitionFilters: [isnotnull(dt" in df._jdf.queryExecution().executedPlan().toString()
     assert {str(r["dt"]) for r in df.select("dt").distinct().collect()} == {"2024-01-03", "2024-01-04"}
+
+
+def test_store_refuses_another_type(spark, sf):
+    path = new_path(spark, "store")
+    df = registry.panel(spark, sf).select("dt", "serial_number", "smart_4raw")
+    writers.store_panel(df, path)
+    with pytest.raises(TypeError, match="smart_4raw"):
+        writers.store_panel(df.withColumn("smart_4raw", F.col("smart_4raw").cast("string")), path)
+    writers.store_panel(df, path)
+    assert writers.read_store(spark, path).count() == df.count()
