@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -12,34 +15,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Scratch, slices, text_of, texts
+from panelspark.llm.common import Memory, Scratch, slices, text_of, texts
 from panelspark.llm.tokens import PLAIN, SPLIT, byte_symbols
 
-#: Bytes of words whose ids a task remembers, and of text that it works on at once.
-WORD_BYTES, SLICE_BYTES = 24 << 20, 1 << 20
+#: Bytes of words whose ids a worker remembers for a tokenizer, and of text that it works on at once.
+WORD_BYTES, SLICE_BYTES = 28 << 20, 1 << 20
 #: Pairs of ids that a task holds with their counts: the most frequent ones; the others are joined.
 HELD_PAIRS = 1 << 20
 _BITS = 20  # of a token id within a pair
 _SPACE_MARK = "▁"
 
 
-class Words:
-    """Ids of words as little-endian 32-bit bytes; forgets all when its bytes are used up."""
-
-    def __init__(self, limit: int = WORD_BYTES):
-        self.known: dict[str, bytes | None] = {}
-        self.limit, self.size = limit, 0
-
-    def keep(self, word: str, ids: bytes | None) -> None:
-        self.known[word] = ids
-        self.size += 160 + 4 * len(word) + len(ids or b"")
-
-    def make_room(self) -> None:
-        if self.size > self.limit:
-            self.known.clear()
-            self.size = 0
-
-
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<i4").tobytes()
 
@@ -47,9 +33,10 @@ def _packed(ids: list[int]) -> bytes:
 class ByteLevel:
     """Tokenizer of a ``.json`` file with byte-level symbols: ids of whole texts, bytes of each id."""
 
-    def __init__(self, path: str, words: Words | None = None):
+    def __init__(self, path: str, words: Memory | None = None):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         spec = json.loads(open(path, encoding="utf-8").read())
@@ -59,11 +46,12 @@ class ByteLevel:
         self.bytes = [
             added[i] if i in added else bytes(byte[c] for c in vocabulary[i]) if i in vocabulary else b"" for i in range(max(vocabulary) + 1)
         ]
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
         plain = spec["pre_tokenizer"] or {}
         self.split = regex.compile(SPLIT) if plain.get("type") == "ByteLevel" and plain.get("use_regex", True) and not spec["normalizer"] else None
         if plain.get("add_prefix_space"):
             self.split = None
-        self.words = words or Words()
+        self.words = words or Memory(WORD_BYTES)
 
     def whole(self, raw: str) -> bytes:
         return _packed(self.library.encode(raw, add_special_tokens=False).ids)
@@ -75,14 +63,15 @@ class ByteLevel:
     def encode_words(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
 
+    def spelled(self, words: list[str]) -> list[str]:
+        """What the ids of the words spell."""
+        return words
+
 
 class Pieces:
     """Tokenizer of a ``.model`` file that puts a space before the text: ids of space + text, bytes of each id."""
 
-    #: Spaces and what follows them up to the next; no piece reaches from one such part into the next.
-    PART = regex.compile(r" +[^ ]*")
-
-    def __init__(self, path: str, words: Words | None = None):
+    def __init__(self, path: str, words: Memory | None = None):
         from sentencepiece import SentencePieceProcessor
 
         self.library = SentencePieceProcessor(model_file=path)
@@ -90,43 +79,71 @@ class Pieces:
         self.bytes = [
             bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace(_SPACE_MARK, " ").encode() for i, p in enumerate(names)
         ]
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
         plain = [p for i, p in enumerate(names) if not (self.library.is_control(i) or self.library.is_unknown(i))]
+        #: No token reaches from a word into the space behind it, so words with their space are merged apart.
         self.apart = not any(_SPACE_MARK in p.lstrip(_SPACE_MARK) for p in plain)
-        self.words = words or Words()
+        self.words = words or Memory(WORD_BYTES)
 
     def whole(self, raw: str) -> bytes:
         return _packed(self.library.encode(raw[1:]))
 
     def pieces(self, raw: str) -> list[str] | None:
-        return self.PART.findall(raw) if self.apart else None
+        """Words behind one space each; texts with several spaces in a row are read whole."""
+        return raw[1:].split(" ") if self.apart and "  " not in raw and raw[-1] != " " else None
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        return self.library.encode([w[1:] for w in words], num_threads=1)
+        return self.library.encode(words, num_threads=1)
+
+    def spelled(self, words: list[str]) -> list[str]:
+        return [" " + w for w in words]
 
 
 def tokenizer(path: str) -> ByteLevel | Pieces:
     return ByteLevel(path) if path.endswith(".json") else Pieces(path)
 
 
+def _learn(tool: ByteLevel | Pieces, words: list[str]) -> None:
+    """Remember the ids of new words, or None where their bytes differ."""
+    ids = tool.encode_words(words)
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+    spelled = tool.spelled(words)
+    joined = "".join(spelled).encode()
+    stops = np.concatenate([[0], np.cumsum(sizes)])
+    said = np.diff(np.concatenate([[0], np.cumsum(tool.sizes[flat])])[stops])
+    whole = len(joined) == sum(map(len, spelled))  # one byte a character
+    lengths = np.fromiter(map(len, spelled) if whole else (len(w.encode()) for w in spelled), np.int64, len(spelled))
+    same = (said == lengths).all() and b"".join(map(tool.bytes.__getitem__, flat.tolist())) == joined
+    raw, stops = flat.astype("<i4").tobytes(), (4 * stops).tolist()
+    if same:
+        kept = [raw[a:b] for a, b in pairwise(stops)]
+    else:
+        kept = [
+            raw[a:b] if b"".join(map(tool.bytes.__getitem__, own)) == text.encode() else None
+            for (a, b), own, text in zip(pairwise(stops), ids, spelled, strict=True)
+        ]
+    tool.words.keep(words, kept, 4 * len(flat) + len(joined))
+
+
 def encode(tool: ByteLevel | Pieces, raws: list[str]) -> list[bytes | None]:
     """Ids of each text; None where the bytes of the ids are not those of the text."""
     parts = [tool.pieces(raw) for raw in raws]
+    new = tool.words.missing(set().union(*filter(None, parts)))
     known = tool.words.known
-    new = list({w for p in parts if p for w in p if w not in known})
     for start in range(0, len(new), 4096):
-        some = new[start : start + 4096]
-        for word, ids in zip(some, tool.encode_words(some), strict=True):
-            same = b"".join(map(tool.bytes.__getitem__, ids)) == word.encode()
-            tool.words.keep(word, _packed(ids) if same else None)
+        _learn(tool, new[start : start + 4096])
     out: list[bytes | None] = []
     for raw, part in zip(raws, parts, strict=True):
-        ids = [known[w] for w in part] if part is not None else [None]
-        if None in ids:
-            joined = tool.whole(raw)
-            same = b"".join(map(tool.bytes.__getitem__, np.frombuffer(joined, "<i4").tolist())) == raw.encode()
-            out.append(joined if same else None)
-        else:
-            out.append(b"".join(ids))
+        if part is not None:
+            try:
+                out.append(b"".join(map(known.__getitem__, part)))
+                continue
+            except TypeError:  # a word without ids
+                pass
+        joined = tool.whole(raw)
+        same = b"".join(map(tool.bytes.__getitem__, np.frombuffer(joined, "<i4").tolist())) == raw.encode()
+        out.append(joined if same else None)
     tool.words.make_room()
     return out
 
@@ -151,7 +168,7 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = tokenizer(path_a), tokenizer(path_b)
-        self.len_a, self.len_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
+        self.len_a, self.len_b = self.a.sizes, self.b.sizes
         raw = {i for i in range(len(self.b.bytes)) if isinstance(self.b, Pieces) and self.b.library.is_byte(i)}
         self.same = identity_map(self.a.bytes, self.b.bytes, raw)
         if max(len(self.len_a), len(self.len_b)) > 1 << _BITS:
@@ -214,6 +231,12 @@ class Aligner:
         return out
 
 
+@lru_cache(maxsize=1)
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """The worker's own: reading the vocabularies takes longer than a small task, and what it remembers is bounded."""
+    return Aligner(path_a, path_b)
+
+
 _COUNTS = "n_a long, n_b long, n_groups long, n_links long"
 _LINKS = "same array<long>, same_n array<long>, pair array<long>, pair_n array<long>"
 
@@ -228,7 +251,7 @@ def link_texts(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", t
     holds the task's vector over the A ids: how many documents have the id so linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Aligner(path_a, path_b)
+        tool = aligner(path_a, path_b)
         vector, kind = np.zeros(len(tool.same), np.int64), None
         for batch in batches:
             kind = batch.schema.field(0).type

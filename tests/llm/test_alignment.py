@@ -11,7 +11,7 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from panelspark.llm import alignment
-from panelspark.llm.common import table
+from panelspark.llm.common import Memory, table
 from panelspark.llm.queries import QUERIES
 from panelspark.llm.tokens import byte_symbols
 
@@ -94,7 +94,7 @@ def test_nothing(spark):
 def test_words_are_forgotten():
     """Ids do not depend on what is remembered."""
     texts = [f" {i} Straße w{i} don't" for i in range(300)]
-    small, large = alignment.ByteLevel(A, alignment.Words(500)), alignment.ByteLevel(A)
+    small, large = alignment.ByteLevel(A, Memory(500)), alignment.ByteLevel(A)
     assert [alignment.encode(small, [t]) for t in texts] == [alignment.encode(large, [t]) for t in texts]
     assert len(small.words.known) < len(large.words.known)
 
