@@ -1,4 +1,4 @@
-"""URL filters that hold for all aliases of a page: redirects, canonical links, spelling variants."""
+"""URL filters that hold for all aliases of a page: redirects and canonical links."""
 
 from __future__ import annotations
 
@@ -79,14 +79,14 @@ def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def judge(
     pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_id", url: str = "url", html: str | None = "html",
-    edges: DataFrame | None = None,
+    edges: DataFrame | None = None, spelling: bool = False,
 ) -> DataFrame:
     """One row per page: ``key, host, path, rule, verdict, alias_root, aliases``.
 
     ``rules`` are (host and path, ``allow`` or ``block``). A page with a fitting rule gets its verdict.
     The others get that of their aliases: urls are joined by canonical links and refresh redirects in
-    the pages, by ``edges(a, b)`` (say, a crawler's redirects) and to their normal form, and
-    in each connected class an explicit allow anywhere allows, else a block anywhere blocks, else
+    the pages and by ``edges(a, b)`` (say, a crawler's redirects), with ``spelling`` also to their normal form
+    (a guess: off unless asked for), and in each connected class an explicit allow anywhere allows, else a block anywhere blocks, else
     pages are allowed. Targets that are no pages count too. Null urls and urls without ``://`` have
     neither host nor aliases and are allowed. Repeated rows are judged alike. ``aliases`` is the
     number of urls in the class, 1 if there is none other.
@@ -102,8 +102,9 @@ def judge(
         linked = linked.unionByName(edges.select(F.col("a").cast("string"), F.col("b").cast("string")).dropna())
         ends = ends.union(edges.select("a")).union(edges.select("b"))
     ends = ends.dropna().distinct()
-    spelled = ends.select(F.col("url").alias("a"), normal_form(F.col("url")).alias("b")).dropna()
-    classes = scratch.write(connected_components(linked.unionByName(spelled), scratch), "classes")
+    if spelling:
+        linked = linked.unionByName(ends.select(F.col("url").alias("a"), normal_form(F.col("url")).alias("b")).dropna())
+    classes = scratch.write(connected_components(linked, scratch), "classes")
     ruled = scratch.write(fitting_rules(ends, _rule_table(spark, rules)), "ruled")
     judged = classes.join(ruled.select(F.col("url").alias("node"), "rule_verdict"), "node", "left")
     verdicts = judged.groupBy("root").agg(

@@ -251,16 +251,53 @@ def test_urls(spark):
         (8, "http://z.org", '<link rel="canonical" href="//b.net/es/">'), (9, "http://lone.org?q", None), (1, "https://www.Example.com/en/1?x=1#y", None),
     ]
     df = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, verdict string")
-    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(df, RULES).collect()), key=str)
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(df, RULES, spelling=True).collect()), key=str)
     assert got == sorted([
         (1, "www.example.com", "/en/1", "www.example.com/en/", "allow"), (2, "a.example.com", "/en/2", "example.com/en/", "block"),
         (3, "", "", None, "allow"), (4, "", "", None, "allow"), (5, "x.org", "/1", None, "block"), (6, "x.org", "/1.html", None, "block"),
         (7, "z.org", "/", None, "allow"), (8, "z.org", "", None, "allow"), (9, "lone.org", "", None, "allow"),
         (1, "www.example.com", "/en/1", "www.example.com/en/", "allow"),
     ], key=str)
+    plain = {r.page_id: r.verdict for r in urls.judge(df, RULES).collect()}
+    assert (plain[5], plain[6], plain[7], plain[8]) == ("block", "allow", "allow", "block")  # by links, not by spelling
     assert urls.judge(df.limit(0), RULES).count() == 0 and urls.judge(df, []).filter("verdict = 'allow'").count() == len(rows)
 
 
+def test_verdicts_travel_along_redirects(spark):
+    """Random redirects, canonical links and crawler edges over several hops, against a walk over the classes."""
+    rng = np.random.default_rng(12)
+    hosts = ["a.org", "b.net", "www.example.com", "e.org", "c.io", "d.net"]
+    url = [f"http://{hosts[i % 6]}/{('en', 'es', 'fr', 'zz')[i % 4]}/{i}" for i in range(90)]
+    rows, edges = [], []
+    for i in range(60):  # the others are targets without a page
+        j = int(rng.integers(0, 90))
+        tag = [f'<link rel="canonical" href="{url[j]}">', f'<meta http-equiv="refresh" content="0; url={url[j]}">', "", ""][i % 4]
+        rows.append((i, url[i], f"<html>{tag}</html>"))
+        if tag:
+            edges.append((i, j))
+    more = [tuple(map(int, rng.integers(0, 90, 2))) for _ in range(15)]
+    label = list(range(90))
+    for _ in range(90):
+        for a, b in edges + more:
+            label[a] = label[b] = min(label[a], label[b])
+    rules = [*RULES, ("net/fr/", "block")]
+
+    def own(u):
+        host, _, path = u[7:].partition("/")
+        fits = [(len(r), v) for r, v in rules if ("." + host).endswith("." + r.split("/")[0]) and f"/{path}".startswith(r[len(r.split("/")[0]):])]
+        return max(fits)[1] if fits else None
+
+    told = {}
+    known = {i for i in range(60)} | {k for e in edges + more for k in e}
+    for i in known:
+        told.setdefault(label[i], set()).add(own(url[i]))
+    want = {i: own(url[i]) or ("allow" if "allow" in told[label[i]] else "block" if "block" in told[label[i]] else "allow") for i in range(60)}
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    crawled = spark.createDataFrame([(url[a], url[b]) for a, b in more], "a string, b string")
+    got = {r.page_id: r.verdict for r in urls.judge(df, rules, edges=crawled).collect()}
+    assert got == want and sum(v != (own(url[i]) or "allow") for i, v in want.items()) >= 3
+
+
 def test_url_rules_on_pages(spark, sf):
     rules = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
     pages = table(spark, sf, "pages").select("page_id", "url").collect()
