@@ -7,8 +7,9 @@ import itertools
 from pyspark.sql import functions as F
 
 from panelspark import schema
-from panelspark.operators import assoc, profile
+from panelspark.operators import assoc, profile, sketches
 from panelspark.registry import fault_log, labelled, panel, query, rounded, table
+from panelspark.session import new_path
 
 COLS = schema.SENSORS
 
@@ -150,6 +151,32 @@ def density_profile_log(spark, sf):
     return _density(spark, sf, True)
 
 
+@query(
+    "sketch_profile",
+    f"""SELECT "column", count(*) AS rows, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 4) + 0.0 AS std,
+       min(value) AS min, max(value) AS max, true AS quantiles_close, true AS distinct_close
+       FROM ({long_sql(COLS, "(SELECT * FROM panel WHERE dt BETWEEN DATE '2024-01-06' AND DATE '2024-01-25')")}) GROUP BY 1""",
+    ("panel",),
+)
+def sketch_profile(spark, sf):
+    """A span's profile from stored daily sketches; the sketched parts are held against the rows: quantiles within
+    1 % of the rank, distinct values within 3 %."""
+    df, path = panel(spark, sf), new_path(spark, "sketches")
+    sketches.store_sketches(sketches.sketch_periods(df, COLS, "yyyyMMdd"), path)
+    told = sketches.profile_of(sketches.merge_sketches(sketches.read_sketches(spark, path, 20240106, 20240125)))
+    span = profile.stacked(df.filter("dt BETWEEN '2024-01-06' AND '2024-01-25'"), COLS).join(told, "column")
+    share = lambda hit: F.count_if(hit) / F.count("value")
+    close = [
+        (share(F.col("value") < F.col(f"q{i}")) - 0.01 <= p) & (share(F.col("value") <= F.col(f"q{i}")) + 0.01 >= p) for i, p in enumerate((0.25, 0.5, 0.75))
+    ]
+    exact = F.count_distinct("value")
+    held = span.groupBy("column").agg(
+        (close[0] & close[1] & close[2]).alias("quantiles_close"),
+        (F.abs(exact - F.first("distinct")) <= F.greatest(F.lit(1), exact * 0.03)).alias("distinct_close"),
+    )
+    return told.join(held, "column").select("column", "rows", "n", F.round("mean", 6).alias("mean"), F.round("std", 4).alias("std"), "min", "max", "quantiles_close", "distinct_close")
+
+
 @query(
     "minmax_distinct_compare",
     " UNION ALL ".join(
