@@ -243,6 +243,20 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "smart_1_normalized" not in schema
 
 
+def test_bucketed_panel_needs_no_exchange(spark, sf):
+    from panelspark.session import materialize, new_path
+    from panelspark.sources import writers
+
+    fitted = plan.FittedFeatures(list(S.SENSORS), [0.0, 10.0, 20.0, 30.0, 40.0])
+    cleaned = materialize(registry.powered(spark, sf))
+    bucketed = writers.bucket_panel(cleaned, "bucketed_panel", new_path(spark, "bucketed"), 8)
+    made = plan.build_features(bucketed, fitted, ["tag", "flag"])
+    assert not re.findall(r"\bExchange\b", text(made)) and "SelectedBucketsCount: 8 out of 8" in text(made)
+    plain = plan.build_features(cleaned, fitted, ["tag", "flag"])
+    assert made.exceptAll(plain).isEmpty() and made.count() == plain.count()
+    spark.sql("DROP TABLE bucketed_panel")
+
+
 def test_daily_top_is_limited_before_the_shuffle(spark, sf):
     from panelspark.session import materialize
 
