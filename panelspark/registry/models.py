@@ -10,7 +10,7 @@ from panelspark.plans import bundle, scoring, training
 from panelspark.plans.features import training_features
 from panelspark.registry import labelled, panel, query, rounded, table
 from panelspark.registry.evaluation import FOLD_TRAIN, FOLD_VALID, GAP, TRAIN, VALID
-from panelspark.schema import column_roles
+from panelspark.schema import SENSORS, column_roles
 from panelspark.session import materialize, new_path
 
 INDEX = ["serial_number", "model", "dt"]
@@ -153,8 +153,8 @@ CENTERS = [[50.0, 2.0, 30.0], [200.0, 4.0, 100.0], [120.0, 3.0, -1.234]]
 
 @query("kmeans_elbow")
 def kmeans_elbow(spark, sf):
-    df = materialize(rows(spark, sf).select("tag", *CLUSTER), "cluster")
-    return cluster.kmeans_elbow(df, CLUSTER, range(1, 10), rounds=5)
+    df = labelled(spark, sf).select((F.col("tag") > 0).cast("int").alias("tag"), *SENSORS)
+    return cluster.kmeans_elbow(materialize(df, "cluster"), SENSORS, range(1, 10))
 
 
 def _center_sql() -> str:
