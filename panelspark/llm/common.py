@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -135,6 +137,17 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(parts)
 
 
+def spelled_out(pattern: str, plain) -> re.Pattern | None:
+    """The pattern for Python's own engine, which is faster, its Unicode classes L and N spelled out as the
+    characters that texts of ``plain`` can have, lower-cased or not. None if it has other classes."""
+    chars = {c for i in range(0x250) if plain.fullmatch(chr(i)) for c in (chr(i), *chr(i).lower())}
+    for kind in "LN":
+        members = "".join(re.escape(c) for c in sorted(chars) if unicodedata.category(c)[0] == kind)
+        pattern = re.sub(rf"(?<!\[)\\p\{{{kind}\}}(?=[+*?|)]|$)", lambda m: f"[{members}]", pattern)  # noqa: B023  outside of brackets
+        pattern = pattern.replace(rf"\p{{{kind}}}", members)
+    return None if r"\p" in pattern else re.compile(pattern)
+
+
 class Memory:
     """What is known of words, bounded in bytes: once half the room is used, only words that turn up again are
     carried on."""
