@@ -11,11 +11,10 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Memory, Scratch, slices, text_of, texts
+from panelspark.llm.common import Memory, Scratch, slices, spelled_out, text_of, texts
 from panelspark.llm.tokens import PLAIN, SPLIT, byte_symbols
 
 #: Bytes of words whose ids a worker remembers for a tokenizer, and of text that it works on at once.
@@ -48,7 +47,7 @@ class ByteLevel:
         ]
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
         plain = spec["pre_tokenizer"] or {}
-        self.split = regex.compile(SPLIT) if plain.get("type") == "ByteLevel" and plain.get("use_regex", True) and not spec["normalizer"] else None
+        self.split = spelled_out(SPLIT, PLAIN) if plain.get("type") == "ByteLevel" and plain.get("use_regex", True) and not spec["normalizer"] else None
         if plain.get("add_prefix_space"):
             self.split = None
         self.words = words or Memory(WORD_BYTES)
