@@ -125,8 +125,9 @@ class BinCompletion:
     it, or could take the place of one or two smaller ones in it. Copies of a filling are made at
     once while the counts allow. The incumbent takes the best-fitting completion at each step; what
     it fills without waste stays, and the rest is improved by branching over the completions,
-    pruned by the waste that a better solution may have in all. ``nodes`` bounds both searches; it
-    limits how much is improved, never whether every piece is placed.
+    pruned by the waste that a better solution may have in all. The search is the same for any number
+    of pieces; ``nodes`` bounds how many branches are tried after the first descent, ``fill_nodes`` the
+    completions of one sequence. They limit how much is improved, never whether every piece is placed.
     """
 
     def __init__(self, counts: np.ndarray, size: int, nodes: int = 20_000, fill_nodes: int = 300):
@@ -230,37 +231,58 @@ class BinCompletion:
             for length, n in filling:
                 counts[length] += n * times
         total, best = int((np.arange(len(counts)) * counts).sum()), loose
-        if counts.sum() > 2_000:  # too deep to branch over; the gap to the bound is then tiny
-            return loose
         budget = [self.nodes]
 
-        def dive(allowed: int, path: list[Pattern]) -> list[Pattern] | None:
-            if not counts.any():
-                return list(path)
-            budget[0] -= 1
+        def choices(allowed: int) -> Iterator[tuple[tuple[tuple[int, int], ...], int, int]]:
+            """Fillings with the number of copies and the waste of one, the least waste first."""
             for filling in self._fillings(counts):
                 waste = self.size - self._sum(filling)
-                if waste > allowed or budget[0] <= 0:
-                    break
-                times = min(int(counts[length]) // n for length, n in filling) if waste == 0 else 1
-                for length, n in filling:
-                    counts[length] -= n * times
-                path.append((filling, times))
-                done = dive(allowed - waste, path)
-                path.pop()
-                for length, n in filling:
-                    counts[length] += n * times
-                if done is not None:
-                    return done
-            return None
+                if waste > allowed:
+                    return
+                most = min(int(counts[length]) // n for length, n in filling)
+                if waste:  # half of the copies that may be made, so that depth grows as the logarithm of the counts
+                    most = max(1, min(most, allowed // waste) // 2)
+                    yield filling, most, waste
+                if not waste or most > 1:
+                    yield filling, 1 if waste else most, waste
+
+        def take(filling, times: int) -> None:
+            for length, n in filling:
+                counts[length] -= n * times
 
+        def dive(allowed: int, first: bool) -> list[Pattern] | None:
+            """The ``first`` descent costs nothing, so that large inputs get to its end as small ones do."""
+            path: list[tuple] = []
+            levels = [choices(allowed)]
+            while levels and counts.any():
+                step = next(levels[-1], None) if first or budget[0] > 0 else None
+                if step is None:
+                    first = False
+                    levels.pop()
+                    if path:
+                        filling, times, waste = path.pop()
+                        take(filling, -times)
+                        allowed += waste * times
+                    continue
+                budget[0] -= not first
+                filling, times, waste = step
+                take(filling, times)
+                path.append(step)
+                allowed -= waste * times
+                levels.append(choices(allowed))
+            done = [(filling, times) for filling, times, _ in path] if levels else None
+            for filling, times, _ in path:
+                take(filling, -times)
+            return done
+
+        first = True
         while budget[0] > 0:
             bins = sum(n for _, n in best) - 1
             allowed = bins * self.size - total
-            better = dive(allowed, []) if allowed >= 0 else None
+            better = dive(allowed, first) if allowed >= 0 else None
             if better is None:
                 break
-            best = better
+            best, first = better, False
         return best
 
 

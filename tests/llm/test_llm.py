@@ -561,3 +561,16 @@ def test_packing_of_many_small_pieces():
                 placed[length] += n * times
         assert placed == small
         assert sum(t for _, t in found) <= -(-sum(a * b for a, b in small.items()) // 4096) + 1
+
+
+def test_packing_searches_many_loose_pieces():
+    counts = np.zeros(45, np.int64)
+    counts[[8, 9, 10, 12, 21, 22]] = np.array([1, 1, 1, 3, 1, 2]) * 700
+    search = packing.BinCompletion(counts, 44, nodes=200)
+    best_fit = sum(n for _, n in search._best_fit(counts.copy()))
+    found, placed = search.solve(), np.zeros(45, np.int64)
+    for filling, times in found:
+        assert sum(length * n for length, n in filling) <= 44
+        for length, n in filling:
+            placed[length] += n * times
+    assert placed.tolist() == counts.tolist() and sum(n for _, n in found) < best_fit
