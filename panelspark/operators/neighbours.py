@@ -29,6 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors get the
 #: Points that the driver splits to find the borders of the blocks, and blocks at most (a bigger block is dealt out).
 SAMPLE_POINTS, MOST_BLOCKS = 65_536, 4096
 SMALL_BALL = 16  # points that are compared without a further bound
+ASKED_AT_ONCE = 65_536  # pairs of a row and a block that a task holds at once
 
 
 def _fold_copies(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -244,12 +245,12 @@ def nearest_neighbours(
         bound = F.when(F.size("found") > k, F.element_at("found", -1)["distance"]).otherwise(F.lit(float("inf")))
         return materialize(blocked.select("vid", "v", "cell", "block").join(found.withColumn("bound", bound), "vid"), "bounds")
 
+    rows_at_once = max(1, ASKED_AT_ONCE // int(block_counts.sum()))  # a row may ask all blocks
+
     def ask(first_only: bool):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             """Name the blocks that may hold something closer than the bound: the nearest other cell, or the rest."""
-            for part in parts:
-                if not len(part):
-                    continue
+            for part in (p.iloc[i : i + rows_at_once] for p in parts for i in range(0, len(p), rows_at_once)):
                 d = distances(np.stack(part["v"].to_numpy()), centres)
                 mine = np.searchsorted(order, part["cell"].to_numpy())
                 reach = d - radii[None, :]

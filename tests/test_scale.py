@@ -195,6 +195,26 @@ def test_neighbours_of_few_points(spark):
     assert got == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 1}
 
 
+def test_neighbours_ask_a_few_rows_at_once(spark, monkeypatch):
+    """However many rows a task has, only as many are held against all blocks as give a bounded number of pairs."""
+    own = neighbours.distances
+
+    def checked(a, b):
+        from sys import _getframe
+
+        assert _getframe(1).f_code.co_name != "run" or len(a) <= 10, "too many at once"  # against the centres of all blocks
+        return own(a, b)
+
+    monkeypatch.setattr(neighbours, "ASKED_AT_ONCE", 40, raising=False)
+    monkeypatch.setattr(neighbours, "distances", checked)
+    points = np.random.default_rng(3).normal(size=(400, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "id long, v array<double>").coalesce(1)
+    got = neighbours.nearest_neighbours(df, "id", "v", 5, block_rows=100).toPandas()
+    d = own(points, points)
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose(got.sort_values(["id", "rank"]).distance.to_numpy().reshape(400, 5), np.sort(d, 1)[:, :5])
+
+
 def test_smote_balances_and_interpolates(spark):
     rows = [(i, 1 if i < 10 else 0, float(i), None if i == 3 else 2.0 * i) for i in range(75)]
     df = spark.createDataFrame(rows, "id long, tag int, x double, y double")
