@@ -4,8 +4,10 @@ A tree of median splits cuts the points into blocks of bounded size; every block
 radius) that holds all its points. Each point is first compared within its own block, then with the block
 whose ball is closest; the distance found bounds where closer points can be, and by the triangle inequality
 only blocks whose ball reaches within it are searched. Inside a task the same happens again over small
-balls. Copies of a vector are folded first, so that a vector that makes up much of the table is compared
-once. The work per task is one block of points against one part of the points that ask for it.
+balls; what is left is sifted by a product of matrices that bounds every squared distance from below, and
+only pairs that pass get their distance by differences. Copies of a vector are folded first, so that a
+vector that makes up much of the table is compared once. The work per task is one block of points against
+one part of the points that ask for it.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors get the
 
 #: Points that the driver splits to find the borders of the blocks, and blocks at most (a bigger block is dealt out).
 SAMPLE_POINTS, MOST_BLOCKS = 65_536, 4096
-SMALL_BALL = 16  # points that are compared without a further bound
+FEWEST_ROWS, MOST_ROWS = 2048, 32_768  # rows of a block: a sixteenth of the points, but within these
+SMALL_BALL, BALLS = 16, 64  # points that are compared without a further bound, at least; balls of a block
+PAIRS_AT_ONCE = 4_000_000  # bounds that a task holds at once
 ASKED_AT_ONCE = 65_536  # pairs of a row and a block that a task holds at once
 
 
@@ -102,9 +106,27 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lifted(asking: np.ndarray, points: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Matrices whose product is a lower bound of each squared distance, in squares of the unit that follows; the
+    last number is how far below it can be.
+
+    A sum of n rounded products is off by at most n roundings of the sum of their sizes, here twice the two squared
+    norms. This is taken off the norms, so no rounding lifts a bound above the distance.
+    """
+    centre = points.mean(0)
+    a, b = asking - centre, points - centre
+    unit = float(max(np.abs(a).max(), np.abs(b).max())) or 1.0
+    a, b = a / unit, b / unit
+    off = 4 * (a.shape[1] + 6) * float(np.finfo(kind).eps)
+    a2, b2 = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    left = np.column_stack([-2 * a, np.ones(len(a)), a2 * (1 - off)]).astype(kind)
+    right = np.column_stack([b, b2 * (1 - off), np.ones(len(b))]).astype(kind)
+    return left, right, unit, 2 * off * float(a2.max() + b2.max()) + 1e-30
+
+
 def _small_balls(points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """Members, centre and radius of small balls that hold all points."""
-    leaf = leaf_of(split_tree(points, max(1, len(points) // SMALL_BALL)), points)
+    leaf = leaf_of(split_tree(points, max(1, len(points) // max(SMALL_BALL, len(points) // BALLS))), points)
     out = []
     for n in np.unique(leaf):
         own = np.flatnonzero(leaf == n)
@@ -113,38 +135,72 @@ def _small_balls(points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float
     return out
 
 
-def closest(asking: np.ndarray, bound: np.ndarray, points: np.ndarray, weights: np.ndarray, want: int) -> tuple[list[np.ndarray], list[np.ndarray], int]:
-    """For each row of ``asking`` the points within its bound that can be among the ``want`` nearest, with their
-    distances (ties at the end stay), and the number of distances worked out. A point counts ``weights`` times."""
+def _places(groups: np.ndarray) -> np.ndarray:
+    """Number of each entry, from 0, within its run of equal values."""
+    starts = np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1))
+    return np.arange(len(groups)) - np.repeat(starts, np.diff(np.append(starts, len(groups))))
+
+
+def closest(
+    asking: np.ndarray, bound: np.ndarray, points: np.ndarray, weights: np.ndarray, want: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For each row of ``asking`` the points within its bound that can be among the ``want`` nearest: numbers of row
+    and point with their distance (ties at the end stay), and the number of distances worked out or bounded. A point
+    counts ``weights`` times; a vector with a number that is not finite is near nothing."""
+    known, seen = np.flatnonzero(np.isfinite(asking).all(1)), np.flatnonzero(np.isfinite(points).all(1))
+    none = np.zeros(0, np.int64)
+    if not len(known) or not len(seen):
+        return none, none, np.zeros(0), 0
+    asking, points, weights = asking[known], points[seen], np.minimum(weights[seen], want)
     balls = _small_balls(points)
-    centres, radii = np.stack([c for _, c, _ in balls]), np.array([r for _, _, r in balls])
-    to_centre = distances(asking, centres)
+    radii = np.array([r for _, _, r in balls])
+    left, right, unit, _ = _lifted(asking, np.stack([c for _, c, _ in balls]), np.float64)
+    to_centre = np.sqrt(np.maximum(left @ right.T, 0)) * unit
     counted = to_centre.size
-    limit = bound.copy()
-    found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in asking]
     own = to_centre.argmin(1)
+    to_centre -= radii
+    left, right, unit, slack = _lifted(asking, points, np.float32)
+    limit, best = bound[known], np.full((len(asking), want), np.inf)
+    found = []
     visits = [(ball, True) for ball in range(len(balls))] + [(ball, False) for ball in range(len(balls))]
     for ball, first in visits:  # each row its nearest ball first, which bounds the rest
         members = balls[ball][0]
-        near = np.flatnonzero(((own == ball) == first) & (to_centre[:, ball] - radii[ball] <= limit * (1 + 1e-9) + 1e-12))
-        if not len(near):
-            continue
-        d = distances(asking[near], points[members])
-        counted += d.size
-        for row, i in zip(d, near.tolist(), strict=True):
-            inside = row <= limit[i]
-            if not inside.any():
+        near = np.flatnonzero(((own == ball) == first) & (to_centre[:, ball] <= limit * (1 + 1e-9) + 1e-12))
+        step = max(1, PAIRS_AT_ONCE // len(members))
+        for rows in (near[i : i + step] for i in range(0, len(near), step)):
+            low = left[rows] @ right[members].T
+            counted += low.size
+            with np.errstate(over="ignore"):
+                upto = (limit[rows] / unit) ** 2 * (1 + 1e-9) + 1e-30  # what is too small for a number of this kind
+            if len(members) > want and np.isinf(upto).any():  # that many are as near as this
+                upto = np.minimum(upto, np.partition(low, want - 1, 1)[:, want - 1].astype(float) + slack)
+            row, who = np.nonzero(low <= np.nextafter(upto.astype(np.float32), np.float32(np.inf))[:, None])
+            row, who = rows[row], members[who]
+            far = np.empty(len(row))
+            for i in range(0, len(row), SAMPLE_POINTS):
+                d = asking[row[i : i + SAMPLE_POINTS]] - points[who[i : i + SAMPLE_POINTS]]
+                far[i : i + SAMPLE_POINTS] = np.sqrt(np.einsum("ij,ij->i", d, d))
+            inside = far <= limit[row]
+            row, who, far = row[inside], who[inside], far[inside]
+            if not len(row):
                 continue
-            who, far = np.append(found[i][0], members[inside]), np.append(found[i][1], row[inside])
-            order = np.argsort(far, kind="stable")
-            who, far = who[order], far[order]
-            enough = np.searchsorted(np.cumsum(weights[who]), want)
-            if enough < len(far):
-                limit[i] = min(limit[i], far[enough])
-                keep = far <= limit[i]
-                who, far = who[keep], far[keep]
-            found[i] = (who, far)
-    return [f[0] for f in found], [f[1] for f in found], counted
+            order = np.lexsort((far, row))
+            row, who, far = row[order], who[order], far[order]
+            found.append((row, who, far))
+            times = weights[who]
+            r, d = np.repeat(row, times), np.repeat(far, times)
+            place = _places(r)
+            r, d, place = r[place < want], d[place < want], place[place < want]
+            some, at = np.unique(r, return_inverse=True)
+            new = np.full((len(some), want), np.inf)
+            new[at, place] = d
+            best[some] = np.sort(np.hstack([best[some], new]), 1)[:, :want]
+            limit[some] = np.minimum(limit[some], best[some, -1])
+    if not found:
+        return none, none, np.zeros(0), counted
+    row, who, far = (np.concatenate(x) for x in zip(*found, strict=True))
+    keep = far <= limit[row]
+    return known[row[keep]], seen[who[keep]], far[keep], counted
 
 
 def nearest_neighbours(
@@ -152,19 +208,21 @@ def nearest_neighbours(
     key: str,
     vector: str,
     k: int = 5,
-    block_rows: int = 2048,
+    block_rows: int | None = None,
     most_blocks: int = MOST_BLOCKS,
     seed: int = 42,
     counter=None,
 ) -> DataFrame:
     """The k nearest other rows of each row: ``(key, rank, neighbour, distance)``, ties by key.
 
-    ``counter``: an accumulator that is told how many distances were worked out. Exact for any data; how many
-    distances are saved depends on it: much where vectors lie near a surface of few dimensions or in
-    clumps, nothing where all are about equally far from each other.
+    ``counter``: an accumulator that is told how many distances were worked out or bounded. Exact for any data; how
+    many distances are saved depends on it: much where vectors lie near a surface of few dimensions or in
+    clumps, nothing where all are about equally far from each other. Then every row goes to every block, so blocks
+    are larger (``block_rows``) the more points there are, up to what a task holds easily.
     """
     points = materialize(_fold_copies(df, key, vector, k), "points")
     total = points.count()
+    block_rows = block_rows or min(MOST_ROWS, max(FEWEST_ROWS, math.ceil(total / 16)))
     wanted = max(1, min(most_blocks, math.ceil(total / block_rows)))
     drawn = points.orderBy(F.xxhash64(F.col("vid"), F.lit(seed)), "vid").limit(min(SAMPLE_POINTS, 64 * wanted))
     sample = np.array([r["v"] for r in drawn.select("v").collect()], dtype=float)
@@ -180,7 +238,7 @@ def nearest_neighbours(
 
     placed = points.mapInPandas(place, f"v array<double>, vid {key_type}, ids array<{key_type}>, cell int")
     sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per block
-    blocks_of = {c: max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}
+    blocks_of = {c: max(1, math.ceil(n / (1.25 * block_rows))) for c, n in sizes.items()}  # parts are of equal size but roughly
     count = F.element_at(F.create_map(*[F.lit(x) for c, n in blocks_of.items() for x in (c, n)]), F.col("cell"))
     blocked = materialize(placed.withColumn("block", F.pmod(F.xxhash64("vid"), count).cast("int")), "blocks")
 
@@ -214,33 +272,36 @@ def nearest_neighbours(
     }
     radii = np.array([radius_of[c] for c in order]) * (1 + 1e-9) + 1e-12
     block_counts = np.array([blocks_of[c] for c in order])
-    found_schema = f"vid {key_type}, found array<struct<distance: double, neighbour: {key_type}>>"
+    found_schema = f"vid {key_type}, distance double, neighbour {key_type}"
 
     def search(asking: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         """Best k + 1 ids of one block within the bound of each asking vector (its own copies included)."""
         if not len(asking) or not len(block):
-            return pd.DataFrame({"vid": [], "found": []})
+            return pd.DataFrame({"vid": [], "distance": [], "neighbour": []})
         bound = asking["bound"].to_numpy(dtype=float) if "bound" in asking else np.full(len(asking), np.inf)
-        ids = block["ids"].to_numpy()
-        who, far, n = closest(np.stack(asking["v"].to_numpy()), bound, np.stack(block["v"].to_numpy()), np.array([len(i) for i in ids]), k + 1)
+        many = block["ids"].map(len).to_numpy()
+        ids = np.concatenate(block["ids"].to_list())
+        row, who, far, n = closest(np.stack(asking["v"].to_numpy()), bound, np.stack(block["v"].to_numpy()), many, k + 1)
         if counter is not None:
             counter.add(n)
-        found = []
-        for w, d in zip(who, far, strict=True):
-            pairs = sorted((x, i) for j, x in zip(w, d, strict=True) for i in ids[j])[: k + 1]
-            found.append([{"distance": float(x), "neighbour": i} for x, i in pairs])
-        some = np.array([len(f) > 0 for f in found])
-        return pd.DataFrame({"vid": asking["vid"].to_numpy()[some.astype(bool)], "found": pd.Series([f for f in found if f], dtype=object)})
+        times = many[who]
+        row, far = np.repeat(row, times), np.repeat(far, times)
+        at = np.repeat((np.cumsum(many) - many)[who], times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        order = np.lexsort((rank[at], far, row))
+        order = order[_places(row[order]) <= k]
+        return pd.DataFrame({"vid": asking["vid"].to_numpy()[row[order]], "distance": far[order], "neighbour": ids[at[order]]})
 
     def best_of(found: DataFrame) -> DataFrame:
         """The k + 1 best of all that was found for a vector."""
         best = Window.partitionBy("vid").orderBy("distance", "neighbour")
-        ranked = (
-            found.select("vid", F.explode("found").alias("f")).select("vid", "f.distance", "f.neighbour")
-            .withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k + 1)
-        )
+        ranked = found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k + 1)
         return ranked.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("found"))
 
+    def each(known: DataFrame) -> DataFrame:
+        return known.select("vid", F.explode("found").alias("f")).select("vid", "f.distance", "f.neighbour")
+
     def bounded(found: DataFrame) -> DataFrame:
         bound = F.when(F.size("found") > k, F.element_at("found", -1)["distance"]).otherwise(F.lit(float("inf")))
         return materialize(blocked.select("vid", "v", "cell", "block").join(found.withColumn("bound", bound), "vid"), "bounds")
@@ -291,12 +352,13 @@ def nearest_neighbours(
         by = ["cell", "block", "part"]
         return asked.groupBy(*by).cogroup(served.groupBy(*by)).applyInPandas(search, found_schema)
 
-    known = bounded(blocked.groupBy("cell", "block").applyInPandas(lambda g: search(g[["vid", "v"]], g), found_schema))
+    found = blocked.groupBy("cell", "block").applyInPandas(lambda g: search(g[["vid", "v"]], g), found_schema)
     if sum(blocks_of.values()) > 1:
+        known = bounded(best_of(found))
         if len(order) > 1:
-            known = bounded(best_of(known.select("vid", "found").unionByName(answers(known, True))))
-        known = known.select("vid", "found").unionByName(answers(known, False))
-    lists = best_of(known.select("vid", "found")).withColumnRenamed("found", "near")
+            known = bounded(best_of(each(known).unionByName(answers(known, True))))
+        found = each(known).unionByName(answers(known, False))
+    lists = best_of(found).withColumnRenamed("found", "near")
     vids = points.select("v", "vid")
     rows = df.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v")).join(vids, "v").join(lists, "vid")
     others = F.slice(F.filter("near", lambda n: n["neighbour"] != F.col(key)), 1, k)

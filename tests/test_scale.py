@@ -215,6 +215,31 @@ def test_neighbours_ask_a_few_rows_at_once(spark, monkeypatch):
     assert np.allclose(got.sort_values(["id", "rank"]).distance.to_numpy().reshape(400, 5), np.sort(d, 1)[:, :5])
 
 
+@pytest.mark.parametrize("shift,spread", [(0.0, 1.0), (1e7, 1.0), (-3.0, 1e-9)])
+def test_neighbours_work_out_few_distances_by_differences(monkeypatch, shift, spread):
+    """Points spread evenly over a sphere: no ball can be ruled out, but bounds of whole blocks leave few pairs."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(1200, 32))
+    points = shift + spread * points / np.sqrt((points**2).sum(1))[:, None]
+    points[1000:1100] = points[:100]
+    own, worked_out = neighbours.distances, []
+
+    def counted(a, b):
+        worked_out.append(len(a) * len(b))
+        return own(a, b)
+
+    monkeypatch.setattr(neighbours, "distances", counted)
+    weights = np.where(np.arange(1200) % 10 == 0, 3, 1)
+    row, who, far, _ = neighbours.closest(points[:900], np.full(900, np.inf), points, weights, 6)
+    assert sum(worked_out) < 900 * 1200 / 10 and len(row) < 900 * 30
+    d = own(points[:900], points)
+    for i in range(900):
+        nearest = np.argsort(d[i], kind="stable")
+        upto = d[i][nearest[np.searchsorted(np.cumsum(weights[nearest]), 6)]]
+        assert sorted(who[row == i]) == np.flatnonzero(d[i] <= upto).tolist()
+        assert np.array_equal(np.sort(far[row == i]), np.sort(d[i][d[i] <= upto]))
+
+
 def test_smote_balances_and_interpolates(spark):
     rows = [(i, 1 if i < 10 else 0, float(i), None if i == 3 else 2.0 * i) for i in range(75)]
     df = spark.createDataFrame(rows, "id long, tag int, x double, y double")
