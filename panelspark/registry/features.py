@@ -170,7 +170,7 @@ def _shape_sql(kind: str) -> str:
 
 def _shape(spark, sf, kind):
     df = dense(spark, sf, *SHAPE)
-    out = calendar.observed_days(rolling.shape_features(df, SHAPE, 7))
+    out = calendar.observed_days(rolling.shape_features(df, SHAPE, 7, [kind]))
     digits = 6 if kind == "cv" else 9  # ratios of small whole numbers often end in a 5 at the seventh digit
     return rounded(out.select("serial_number", "model", "dt", *[f"{c}_{kind}_7" for c in SHAPE]), digits=digits)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import random
 from datetime import date, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +89,38 @@ def test_skew_and_kurtosis(spark):
     assert all(r["x_skew_7"] is None for r in early)
 
 
+def test_shapes_of_many_disks_at_once(spark):
+    """The window numbers the rows, no aggregate runs per row and column; frames go on from batch to batch and end with
+    the disk; unknown values do not count, equal ones have no spread, NaN stays NaN."""
+    rng = random.Random(8)
+    disks = {s: [None if rng.random() < 0.2 else round(rng.gauss(5, 3), 3) for _ in range(rng.choice([3, 9, 40]))] for s in range(12)}
+    disks[12], disks[13] = [123456789.1] * 20, [1.0, 2.0, 4.0] * 4 + [float("nan")] + [3.0, 5.0] * 6
+    rows = [(s % 2, f"d{s}", date(2024, 1, 1) + timedelta(days=i), v, i % 4) for s, values in disks.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, f"{DISK}, x double, y int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        out = rolling.shape_features(df, ["x", "y"], 7)
+        plan_text = out._jdf.queryExecution().executedPlan().toString()
+        got = {(r["serial_number"], r["dt"]): r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "kurtosis" not in plan_text and "row_number" in plan_text and plan_text.count("Sort [") == 1
+    assert out.columns == [*df.columns, "x_skew_7", "x_kurt_7", "x_cv_7", "y_skew_7", "y_kurt_7", "y_cv_7"] and len(got) == len(rows)
+    for s, values in disks.items():
+        for c, own in (("x", values), ("y", [i % 4 for i in range(len(values))])):
+            for i in range(len(own)):
+                r = got[f"d{s}", date(2024, 1, 1) + timedelta(days=i)]
+                known = [own[j] for j in range(max(7, i - 6), i + 1) if own[j] is not None]
+                if any(v != v for v in known):
+                    assert all(len(known) < least or math.isnan(r[f"x_{k}_7"]) for k, least in (("skew", 3), ("kurt", 4), ("cv", 2)))
+                    continue
+                frame, flat = pd.Series(known, dtype=float), len(set(known)) < 2
+                wanted = {"skew": (3, frame.skew(), flat), "kurt": (4, frame.kurt(), flat), "cv": (2, frame.std() / (frame.mean() or 1), frame.mean() == 0)}
+                for k, (least, want, none) in wanted.items():
+                    found = r[f"{c}_{k}_7"]
+                    assert found is None if len(known) < least or none else found == pytest.approx(want, abs=1e-9)
+
+
 def test_average_rank(spark):
     df = spark.createDataFrame([(1, s, date(2024, 1, 1), p) for s, p in zip("abcd", [0.1, 0.2, 0.2, 0.5])], f"{DISK}, prob double")
     ranks = {r["serial_number"]: r["rank"] for r in rank.daily_average_rank(df).collect()}
