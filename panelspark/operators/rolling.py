@@ -46,22 +46,17 @@ def frame_shapes(x: np.ndarray, known: np.ndarray, row: np.ndarray, n: int, kind
     """
     size = len(row)
     lags = [(x[n - 1 - i : n - 1 - i + size], known[n - 1 - i : n - 1 - i + size] & (row > i)) for i in range(n - 1, -1, -1)]
-    k, total, last = np.zeros(size), np.zeros(size), np.zeros(size)
-    for value, own in lags:
-        k += own
+    k, total, mean, m2, m3, m4 = (np.zeros(size) for _ in range(6))
+    for value, own in lags:  # one value more at a time, as the aggregates add it, so that ties of rounding fall alike
         total += np.where(own, value, 0.0)
-        last = np.where(own, value, last)
-    away = np.zeros(size)  # from the last value, so that equal values have no spread at all
-    for value, own in lags:
-        away += np.where(own, value - last, 0.0)
-    away /= k
-    m2, m3, m4 = np.zeros(size), np.zeros(size), np.zeros(size)
-    for value, own in lags:
-        d = np.where(own, value - last - away, 0.0)
-        square = d * d
-        m2 += square
-        m3 += square * d
-        m4 += square * square
+        k = k + own
+        delta = np.where(own, value - mean, 0.0)
+        part = np.where(own, delta / k, 0.0)
+        delta2, part2 = delta * delta, part * part
+        mean = mean + part
+        m2 = m2 + delta * (delta - part)
+        m3 = m3 - 3.0 * part * m2 + delta * (delta2 - part2)
+        m4 = m4 - 4.0 * part * m3 - 6.0 * part2 * m2 + delta * (delta * delta2 - part * part2)
     flat = m2 / k <= 1e-14  # not so where a value is not a number
     out = {}
     for kind in kinds:
