@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import Memory, Scratch, slices, spelled_out, text_of, texts
+from panelspark.llm.tokens import byte_symbols
 
 #: Characters on whose classes and case all libraries agree; other texts go through the tokenizer whole.
 PLAIN = regex.compile(r"[\x09\x0A\x0D\x20-\x7E\xA1-ɏ]*")
@@ -31,7 +32,8 @@ class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, for one tokenizer file.
 
     Where the file lower-cases, drops white space and splits into words that are encoded each by
-    itself, words are encoded once (by the library) and remembered.
+    itself, words are encoded once (by the library's model alone, as they are lower-cased and split already)
+    and remembered.
     """
 
     def __init__(self, path: str):
@@ -44,12 +46,20 @@ class WordEncoder:
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.split = None
         if steps == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in splits] == ["Split", "ByteLevel"]:
-            if splits[0]["behavior"] == "Removed" and splits[0]["invert"] and not splits[1]["use_regex"]:
+            bytes_only = not splits[1]["use_regex"] and not splits[1]["add_prefix_space"]
+            if splits[0]["behavior"] == "Removed" and splits[0]["invert"] and bytes_only:
                 self.split = spelled_out(splits[0]["pattern"]["Regex"], PLAIN)
         specials = [t["content"] for t in spec["added_tokens"]]
         self.specials = regex.compile("|".join(map(regex.escape, specials))) if specials else None
+        self.model, self.symbols = self.library.model, {byte: char for char, byte in byte_symbols().items()}
         self.memory = Memory(WORD_BYTES)
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word as the split gives it."""
+        if not word.isascii():  # ASCII without white space stands for itself
+            word = word.encode().decode("latin-1").translate(self.symbols)
+        return [t.id for t in self.model.tokenize(word)]
+
     def _whole(self, value: str) -> bytes:
         return np.array(self.library.encode(value, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -59,7 +69,7 @@ class WordEncoder:
         new = self.memory.missing(set().union(*filter(None, words)))
         for start in range(0, len(new), 8192):
             some = new[start : start + 8192]
-            ids = [e.ids for e in self.library.encode_batch(some, add_special_tokens=False)]
+            ids = list(map(self._word, some))
             raw = np.fromiter(chain.from_iterable(ids), np.uint32).astype("<u4").tobytes()
             stops = [0, *accumulate(4 * len(i) for i in ids)]
             self.memory.keep(some, [raw[a:b] for a, b in pairwise(stops)], len(raw) + sum(map(len, some)))

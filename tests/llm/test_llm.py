@@ -574,3 +574,17 @@ def test_packing_searches_many_loose_pieces():
         for length, n in filling:
             placed[length] += n * times
     assert placed.tolist() == counts.tolist() and sum(n for _, n in found) < best_fit
+
+
+def test_words_are_encoded_without_normalizing_and_splitting_again():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    chars = [chr(i) for i in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250))]
+    rng = np.random.default_rng(3)
+    values = ["", " ", "İI'LL don't '' x's 'S", "".join(chars), " ".join(chars), "é" * 300 + "Z" * 300]
+    values += ["".join(rng.choice(chars, 40)) for _ in range(200)]
+    assert all(map(packing.PLAIN.fullmatch, values))
+    library, words = Tokenizer.from_file(path), packing.WordEncoder(path)
+    want = [library.encode(v, add_special_tokens=False).ids for v in values]
+    words.library = None  # its model alone is asked for words
+    for _ in range(2):  # new, then remembered
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in words.encode(values)] == want
